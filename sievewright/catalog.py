@@ -1,0 +1,4 @@
+"""Registered queries of the retrieval engine and the SQL that must give the same rows."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
