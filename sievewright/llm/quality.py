@@ -109,7 +109,7 @@ def _measures(prefix: str) -> list[Column]:
 
 
 def limits(counted: DataFrame, scratch: Scratch, lang: str = "lang", source: str = "source") -> DataFrame:
-    """(_lang, _source, lo_<measure>, hi_<measure>) of every group, from sketches of the texts that pass the fixed rules.
+    """(_lang, _source, _limits: struct of lo_<measure> and hi_<measure>) of every group, from sketches of the texts that pass the fixed rules.
 
     A limit lies SPREADS half-spreads and a least slack beyond the median; the half-spread is taken on the other
     side of the median, so up to half of a group may be bad without moving its limits far.
@@ -130,13 +130,13 @@ def limits(counted: DataFrame, scratch: Scratch, lang: str = "lang", source: str
     for m, (_, slack) in MEASURES.items():
         q = F.when(F.col("n") >= LEAST_TEXTS, F.col(f"own_{m}")).when(F.col("n_lang") >= LEAST_TEXTS, F.col(f"lang_{m}")).otherwise(F.col(f"all_{m}"))
         out += [(q[1] - SPREADS * (q[2] - q[1]) - slack).alias(f"lo_{m}"), (q[1] + SPREADS * (q[1] - q[0]) + slack).alias(f"hi_{m}")]
-    return scratch.table(joined.select("_lang", "_source", *out), "limits")
+    return scratch.table(joined.select("_lang", "_source", F.struct(*out).alias("_limits")), "limits")
 
 
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``docs`` with ``_q`` (COUNTS), ``_failed`` (fixed rules) and ``_kept`` (false if failed or beyond a limit).
 
-    Null languages and sources are groups of their own. A text with few words, none or null fails the fixed
+    Column names beginning with an underscore are taken to be free. Null languages and sources are groups of their own. A text with few words, none or null fails the fixed
     rules. Rows are judged one by one: repeated ids and rows do no harm, other columns pass through.
     """
     scratch = Scratch(docs.sparkSession, "quality")
@@ -148,6 +148,6 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     measures = dict(zip(MEASURES, _measures("_q"), strict=True))
     within = F.lit(True)
     for m in MEASURES:
-        within &= measures[m].between(F.col(f"lo_{m}"), F.col(f"hi_{m}"))
+        within &= measures[m].between(F.col(f"_limits.lo_{m}"), F.col(f"_limits.hi_{m}"))
     failed = base_failed(F.col("_q"))
     return both.withColumn("_failed", failed).withColumn("_kept", F.when(failed, False).otherwise(F.coalesce(within, F.lit(True)))).select(*docs.columns, "_q", "_failed", "_kept")

@@ -40,7 +40,7 @@ def test_clean_texts_stay_and_outliers_go(spark):
 
 def test_empty_nulls_and_clashing_columns(spark):
     assert quality.judged(documents(spark, [])).count() == 0
-    docs = documents(spark, awkward_rows(8, 40) * 2).select("*", *(F.lit(1).alias(c) for c in ("n", "n_words", "own_word_length", "lo_word_length", "_of")))
+    docs = documents(spark, awkward_rows(8, 40) * 2).select("*", *(F.lit(1).alias(c) for c in ("n", "n_words", "own_word_length", "lo_word_length", "hi_symbol_share")))
     out = quality.judged(docs)
     assert out.columns == [*docs.columns, "_q", "_failed", "_kept"]
     assert out.count() == docs.count()
