@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, packing, quality
+from . import jaccard, mixing, packing, quality, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(read(spark, sf_dir, "documents")).totals()
+
+
+@_query
+def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
