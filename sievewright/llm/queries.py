@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, quality, toxicity
+from . import chat, jaccard, mixing, packing, quality, sharding, toxicity, urls
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +63,44 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+
+
+@_query
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(read(spark, sf_dir, "pages"))
+
+
+@_query
+def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.extendible_shards(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "depth", "shard", "shard_bytes", "shard_rows")
+
+
+ORACLES["op1_extendible_sharding"] = """
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents),
+p AS (SELECT doc_id, n_bytes, depth, h >> (60 - depth) AS prefix FROM d, range(0, 31) t(depth)),
+s AS (SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY ALL HAVING sum(n_bytes) <= 1048576)
+SELECT doc_id, n_bytes, min(depth)::INT AS depth, arg_min(CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth::INT, '0') END, depth) AS shard,
+  arg_min(shard_bytes, depth) AS shard_bytes, arg_min(shard_rows, depth) AS shard_rows
+FROM p JOIN s USING (depth, prefix) GROUP BY doc_id, n_bytes
+"""
+
+
+@_query
+def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.perspectives(read(spark, sf_dir, "conversations"))
+    return out.withColumn("mask", F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["length"].cast("string"))), ","))
+
+
+ORACLES["op6_perspective_rotation"] = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn::BIGINT AS turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said FROM conversations),
+p AS (SELECT DISTINCT conv_id, who AS speaker FROM t WHERE who <> 'system'),
+s AS (
+  SELECT conv_id, speaker, turn, who, said, floor(turn / 512)::BIGINT AS part, who = speaker AS own,
+    CASE WHEN who = speaker THEN '<|im_start|>assistant' WHEN who = 'system' THEN '<|im_start|>system' ELSE '<|im_start|>user name=' || who END || chr(10) AS head,
+    replace(said, '<|', '< |') || '<|im_end|>' || chr(10) AS body
+  FROM t JOIN p USING (conv_id)),
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn, who, said) - length(body) AS pos FROM s)
+SELECT conv_id, part::VARCHAR AS part, speaker, count(*)::INT AS n_turns, string_agg(head || body, '' ORDER BY turn, who, said) AS rendered,
+  coalesce(string_agg(CASE WHEN own THEN pos::BIGINT || ':' || length(body) END, ',' ORDER BY turn, who, said), '') AS mask
+FROM o GROUP BY conv_id, part, speaker
+"""
