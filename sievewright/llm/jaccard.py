@@ -49,11 +49,19 @@ def frequency_classes(docs: DataFrame, text: str, size: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(CELLS, np.uint32)
+        held: list[np.ndarray] = []
+
+        def add():
+            if held:
+                total[:] += np.bincount((np.concatenate(held) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                held.clear()
+
         for batch in batches:
             for chunk in words(batch.column(0)):
-                found = [s for _, s in shingle_sets(chunk, size)]
-                if found:
-                    total += np.bincount((np.concatenate(found) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                held += [s for _, s in shingle_sets(chunk, size)]
+                if sum(map(len, held)) > CELLS // 4:
+                    add()
+        add()
         if total.any():
             for k in range(CELLS // BLOCK):
                 part = total[k * BLOCK : (k + 1) * BLOCK]
@@ -75,8 +83,10 @@ def frequency_classes(docs: DataFrame, text: str, size: int) -> np.ndarray:
     total = np.zeros(CELLS, np.int64)
     for row in parts:
         total[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.counts, np.int64)
-    usual = 32 + 4 * total.mean()
-    return np.where(total < usual, 0, np.floor(2 * np.log2(total + 1))).astype(np.uint8)
+    mean = total.mean()
+    # cells within the spread of their load count as rare: their shingles come first, in hash order
+    over = total - mean
+    return np.where(over < 8 + 3 * mean**0.5, 0, np.floor(2 * np.log2(np.maximum(over, 1)))).astype(np.uint8)
 
 
 def _prefix(n: int, num: int, den: int) -> int:
