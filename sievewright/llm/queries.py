@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, packing, quality, sharding, toxicity, urls
+from . import bayes, chat, jaccard, mixing, neighbours, packing, quality, sharding, toxicity, urls
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,14 @@ SELECT conv_id, part::VARCHAR AS part, speaker, count(*)::INT AS n_turns, string
   coalesce(string_agg(CASE WHEN own THEN pos::BIGINT || ':' || length(body) END, ',' ORDER BY turn, who, said), '') AS mask
 FROM o GROUP BY conv_id, part, speaker
 """
+
+
+@_query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+@_query
+def op8_hierarchical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bayes.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "source", "lang", "_b.*")
