@@ -23,7 +23,7 @@ MEASURES = {
     "word_length": ("word_chars / n_words", 1.5),
     "symbol_share": ("n_symbols / n_words", 0.1),
     "line_repeat_share": ("n_dup_lines / greatest(n_lines, 1)", 0.4),
-    "word_repeat_share": ("n_repeat_words / n_words", 0.2),
+    "word_repeat_share": ("n_repeat_words / n_words", 0.3),
 }
 SPREADS = 8.0  # half-spreads (median to the quartile on the other side) between the median and the fence
 LEAST_TEXTS = 100  # a group with fewer texts takes the limits of its language, a language with fewer those of the corpus
