@@ -31,7 +31,7 @@ SEEDS = ("idiot", "stupid", "moron", "scum", "trash", "worthless", "disgusting",
 #: Phrases in which such words are harmless.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown fish", "circus clown", "sore loser")
 SEED_WEIGHT = 3.0
-SAMPLE = 6000  # toxic rows at most that the lexicon is learned from, and twice as many others, chosen by a hash of the id
+SAMPLE = 3000  # toxic rows at most that the lexicon is learned from, and twice as many others, chosen by a hash of the id
 LEAST_ROWS, LEAST_ODDS, MOST_ENTRIES, DEMAND, SHORTEST, LONGEST = 2, 20.0, 5000, 3, 4, 7
 
 _MARKS = {c: None for c in range(0x300, 0x370)} | {0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None, 0xFEFF: None}
@@ -120,12 +120,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seeds: tuple
 
     def count(batches):
         toxic, other, rows_ = Counter(), Counter(), [0, 0]
+
+        def made():
+            keys = list(toxic | other)
+            out = pa.RecordBatch.from_pydict({"gram": pa.array(["", *keys], pa.string()), "a": pa.array([rows_[1], *(toxic[k] for k in keys)], pa.int64()), "b": pa.array([rows_[0], *(other[k] for k in keys)], pa.int64())})
+            toxic.clear()
+            other.clear()
+            rows_[:] = [0, 0]
+            return out
+
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (toxic if y else other).update(_grams(fold(text)))
-                rows_[bool(y)] += 1
-        keys = list(toxic | other)
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(["", *keys], pa.string()), "a": pa.array([rows_[1], *(toxic[k] for k in keys)], pa.int64()), "b": pa.array([rows_[0], *(other[k] for k in keys)], pa.int64())})
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    (toxic if y else other).update(_grams(fold(text)))
+                    rows_[bool(y)] += 1
+                    if len(toxic) + len(other) > 100_000:  # counts of a task are summed up to so many entries
+                        yield made()
+        yield made()
 
     counts = rows.select("text", "toxic").mapInArrow(count, "gram string, a long, b long").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     totals = counts.where("gram = ''").collect()
@@ -144,7 +156,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seeds: tuple
 
     def hits(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"hits": pa.array([sorted(index[g] for g in _grams(fold(t)) if g in index) for t in batch.column(0).to_pylist()], pa.list_(pa.int64()))})
+            for a in range(0, batch.num_rows, 64):
+                part = batch.column(0).slice(a, 64).to_pylist()
+                yield pa.RecordBatch.from_pydict({"hits": pa.array([sorted(index[g] for g in _grams(fold(t)) if g in index) for t in part], pa.list_(pa.int64()))})
 
     held = [set(r.hits) for r in rows.where("toxic = 1").select("text").mapInArrow(hits, "hits array<long>").collect()]  # sample rows at most
     need = [DEMAND - sum(i < len(wanted) for i in h) for h in held]
@@ -180,7 +194,7 @@ def _calibrated(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]
     def run(batches):
         score = Lexicon(lexicon.weights, lexicon.exceptions, (0.0, 0.0, 1.0)).matcher()
         for batch in batches:
-            got = [score(t) for t in batch.column(0).to_pylist()]
+            got = [score(t) for a in range(0, batch.num_rows, 64) for t in batch.column(0).slice(a, 64).to_pylist()]
             density = [float(np.log(s / (1 - s))) if s < 1 else 30.0 for s, _, _ in got]
             yield pa.RecordBatch.from_pydict({"h": pa.array([float(np.log1p(h)) for _, h, _ in got], pa.float64()), "d": pa.array(density, pa.float64()), "y": batch.column(1).cast(pa.int64())})
 
@@ -209,8 +223,8 @@ def scored(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text: str
     def run(batches):
         score = shared.value.matcher()
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for a in range(0, batch.num_rows, 128):
+                part = batch.slice(a, 128)
                 got = [score(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([float(s) for s, _, _ in got], pa.float64()), pa.array([h for _, h, _ in got], pa.int64())], ["doc_id", "score", "hits"])
 
