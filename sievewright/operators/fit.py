@@ -25,7 +25,7 @@ def normalized_profiles(profiles: DataFrame) -> DataFrame:
 
 
 def has_profile(skills, role):
-    return (F.size(skills) > 0) | (F.coalesce(role, F.lit("")) != "")
+    return (F.size(skills) > 0) | (F.trim(F.coalesce(role, F.lit(""))) != "")
 
 
 def record_skills(listings: DataFrame) -> DataFrame:

@@ -114,7 +114,12 @@ def read_resumes(spark: SparkSession, path: str) -> DataFrame:
                 out.append((name, text, pages, error))
             yield pd.DataFrame(out, columns=["path", "text", "pages", "error"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, text string, pages int, error string")
+    kind = "path string, text string, pages int, error string"
+    # Spark's file sources leave out files without bytes
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    empty = [(s.getPath().toString(), None, None, "empty_file") for s in listed if s.isFile() and s.getLen() == 0]
+    return files.select("path", "content").mapInPandas(run, kind).unionByName(spark.createDataFrame(empty, kind))
 
 
 def write_json(df: DataFrame, path: str) -> None:
