@@ -36,7 +36,7 @@ from .textkernel import mix64, shingle_sets, words
 
 CELLS = 1 << 22  # counters of the sketch; their classes are broadcast as 4 MiB, whatever the input
 BLOCK = 1 << 16
-FILTER_BITS = 1 << 26  # bits of the candidate filter (8 MiB at most); false hits only cost time
+FILTER_BITS = 1 << 26  # bits of the candidate filter at most (8 MiB); false hits only cost time
 
 
 def _sets(column, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -75,18 +75,20 @@ def frequency_classes(docs: DataFrame, text: str, size: int) -> np.ndarray:
                 part = np.frombuffer(zlib.decompress(raw), np.uint32).astype(np.int64)
                 sums[k] = sums[k] + part if k in sums else part
         for k, part in sums.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
+            raw = zlib.compress(np.minimum(part, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "counts": pa.array([raw], pa.binary())})
 
     schema = "block int, counts binary"
-    # at most CELLS * 8 bytes reach the driver
+    # at most CELLS * 4 bytes reach the driver
     parts = docs.select(text).mapInArrow(count, schema).repartition(CELLS // BLOCK, "block").mapInArrow(merge, schema).collect()
-    total = np.zeros(CELLS, np.int64)
+    counts = lambda row: np.frombuffer(zlib.decompress(row.counts), np.uint32).astype(np.int64)
+    mean = sum(int(counts(row).sum()) for row in parts) / CELLS
+    classes = np.zeros(CELLS, np.uint8)
     for row in parts:
-        total[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.counts, np.int64)
-    mean = total.mean()
-    # cells within the spread of their load count as rare: their shingles come first, in hash order
-    over = total - mean
-    return np.where(over < 8 + 3 * mean**0.5, 0, np.floor(2 * np.log2(np.maximum(over, 1)))).astype(np.uint8)
+        # cells within the spread of their load count as rare: their shingles come first, in hash order
+        over = counts(row) - mean
+        classes[row.block * BLOCK : (row.block + 1) * BLOCK] = np.where(over < 8 + 3 * mean**0.5, 0, np.floor(2 * np.log2(np.maximum(over, 1))))
+    return classes
 
 
 def _prefix(n: int, num: int, den: int) -> int:
@@ -130,12 +132,13 @@ def signatures(docs: DataFrame, id_col: str, text: str, size: int, num: int, den
     return marked.mapInArrow(run, f"doc_id {kind.simpleString()}, mark long, n long, class long, grp long, prefix array<long>")
 
 
-def _candidate_sets(docs: DataFrame, id_col: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
-    """(class, shingles) of the classes in ``wanted(doc_id)``; a bounded bit filter keeps other texts from being cut."""
+def _candidate_sets(docs: DataFrame, id_col: str, text: str, size: int, wanted: DataFrame, most: int) -> DataFrame:
+    """(class, shingles) of the classes in ``wanted(doc_id)``, about ``most`` of them; a bounded bit filter keeps other texts from being cut."""
     spark = docs.sparkSession
-    h = F.expr(f"xxhash64(doc_id) & {FILTER_BITS - 1}")
+    cells = min(FILTER_BITS, 1 << max(20, (32 * most).bit_length()))
+    h = F.expr(f"xxhash64(doc_id) & {cells - 1}")
     parts = wanted.groupBy(F.bitmap_bucket_number(h).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bits")).collect()
-    bits = {row.k: bytes(row.bits) for row in parts}  # FILTER_BITS bits at most
+    bits = {row.k: bytes(row.bits) for row in parts}  # so many cells, FILTER_BITS at most
     buckets = max(bits, default=0) + 1
     table = np.zeros((buckets + 1, 4096), np.uint8)
     for k, raw in bits.items():
@@ -173,10 +176,10 @@ def _candidate_sets(docs: DataFrame, id_col: str, text: str, size: int, wanted:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, size: int, num: int, den: int, firsts: DataFrame) -> DataFrame:
-    """Of ``pairs(a, b)`` of classes, those that link."""
+    """Of ``pairs(a, b)`` of classes, a written table, those that link."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     wanted = firsts.join(ends, "class", "left_semi").select("doc_id")
-    sets = _candidate_sets(docs, id_col, text, size, wanted)
+    sets = _candidate_sets(docs, id_col, text, size, wanted, 2 * pairs.count())
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -279,7 +282,7 @@ def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text: str =
     away = scratch.table(rows.where("not is_first").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "away")
     twice = scratch.table(rows.where("is_first").groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), "twice")
     same = lambda t: docs[id_col].eqNullSafe(t["_id"]) & (F.xxhash64(docs[text]) == t["_mark"])
-    kept = docs.join(small(away, 1_000_000), same(away), "left_anti")
+    kept = docs.join(small(away), same(away), "left_anti")
     if twice.isEmpty():
         return kept
     again = kept.join(twice, same(twice), "left_semi").dropDuplicates([id_col, text])
