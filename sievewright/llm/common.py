@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and has at most so many narrow rows; else both sides shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,6 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+#: Texts handed to Python at a time. A batch is held several times over (JVM, socket, worker), so it bounds memory.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """No Arrow batch of this session has more than BATCH_ROWS rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 _left: list[tuple[SparkSession, str]] = []
 
 
@@ -52,6 +63,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        small_batches(spark)
         _left.append((spark, self.root))
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:

@@ -193,7 +193,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     runs = runs.groupBy("doc_id", "tie").agg(F.collect_list("parts").alias("_runs"), F.count_distinct("start").alias("_same"))  # passes: a few for each equal row
     runs = m.scratch.table(runs.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "_runs", "_same"), "runs")
     same = docs[id_col].eqNullSafe(runs["_id"]) & (F.xxhash64(docs[text]) == runs["_tie"])
-    joined = docs.join(small(runs), same)
+    joined = docs.join(small(runs, 5000), same)  # rows hold lists
     # equal rows meet one list of all their runs: one of them stands for all
     if not runs.where("_same > 1").isEmpty():
         again = joined.where("_same > 1").dropDuplicates([id_col, text])
@@ -202,35 +202,40 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     at, n_at = names.index(text), names.index(length) if length in names else -1
 
     def run(batches):
-        for batch in batches:
-            rows, out = [], []
-            lists = batch.column(len(names)).to_pylist()
-            for chunk in words(batch.column(at)):
-                for i in range(len(chunk.first) - 1):
-                    a, b = chunk.first[i], chunk.first[i + 1]
-                    whole = bytes(chunk.raw[chunk.rows[i] : chunk.rows[i + 1]])
-                    for parts in lists[chunk.row + i]:
-                        runs_ = []
-                        for p in parts:
-                            if runs_ and runs_[-1][1] == p["at"]:
-                                runs_[-1][1] += p["got"]
-                            else:
-                                runs_.append([p["at"], p["at"] + p["got"]])
-                        for x, y in runs_:
-                            rows.append(chunk.row + i)
-                            out.append(whole if y - x == b - a else bytes(chunk.raw[chunk.start[a + x] : chunk.end[a + y - 1]]))
-                        if len(rows) >= 512:
-                            yield made(batch, rows, out)
-                            rows, out = [], []
-            if rows:
-                yield made(batch, rows, out)
+        for whole_batch in batches:
+            for a in range(0, whole_batch.num_rows, 128):
+                yield from cut(whole_batch.slice(a, 128))
+
+    def cut(batch):
+        rows, out, held = [], [], 0
+        lists = batch.column(len(names)).to_pylist()
+        for chunk in words(batch.column(at)):
+            for i in range(len(chunk.first) - 1):
+                a, b = chunk.first[i], chunk.first[i + 1]
+                whole = bytes(chunk.raw[chunk.rows[i] : chunk.rows[i + 1]])
+                for parts in lists[chunk.row + i]:
+                    runs_ = []
+                    for p in parts:
+                        if runs_ and runs_[-1][1] == p["at"]:
+                            runs_[-1][1] += p["got"]
+                        else:
+                            runs_.append([p["at"], p["at"] + p["got"]])
+                    for x, y in runs_:
+                        rows.append(chunk.row + i)
+                        out.append(whole if y - x == b - a else bytes(chunk.raw[chunk.start[a + x] : chunk.end[a + y - 1]]))
+                        held += len(out[-1])
+                    if held > 1 << 20:
+                        yield made(batch, rows, out)
+                        rows, out, held = [], [], 0
+        if rows:
+            yield made(batch, rows, out)
 
     def made(batch, rows, out):
-        part = batch.select(list(range(len(names)))).take(pa.array(rows, pa.int64()))
+        which = pa.array(rows, pa.int64())
         text_ = pa.array([x.decode() for x in out], pa.string())
-        columns = [text_ if k == at else part.column(k) for k in range(len(names))]
+        columns = [text_ if k == at else batch.column(k).take(which) for k in range(len(names))]
         if n_at >= 0:
-            columns[n_at] = pa.compute.utf8_length(text_).cast(part.column(n_at).type)
+            columns[n_at] = pa.compute.utf8_length(text_).cast(batch.column(n_at).type)
         return pa.RecordBatch.from_arrays(columns, names)
 
     return joined.select(*(docs[c] for c in names), "_runs").mapInArrow(run, docs.schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 LENGTH = 1024
 OPEN_BINS = 1 << 15
 PER_TASK = 50_000  # pieces packed together; bins left open at the end of a task are the only loss of splitting
@@ -20,6 +23,7 @@ END = 2
 PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‘’“”–—]*"
 
 
+@lru_cache(maxsize=2)
 def coder(path: str):
     """texts -> list of id lists, as by the tokenizer file at ``path`` without special tokens.
 
@@ -32,8 +36,14 @@ def coder(path: str):
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True  # their strings in a text are ordinary text
+    loaded = []
+
+    def whole() -> Tokenizer:  # only loaded where a text needs it
+        if not loaded:
+            loaded.append(Tokenizer.from_file(path))
+            loaded[0].encode_special_tokens = True  # their strings in a text are ordinary text
+        return loaded[0]
+
     ranks_path = path.removesuffix(".json") + ".tiktoken"
     quick = None
     if os.path.exists(ranks_path):
@@ -54,7 +64,7 @@ def coder(path: str):
             else:
                 rest.append(i)
         for i in rest:
-            out[i] = whole.encode(texts[i], add_special_tokens=False).ids
+            out[i] = whole().encode(texts[i], add_special_tokens=False).ids
         return out
 
     return encode
@@ -63,12 +73,13 @@ def coder(path: str):
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document: its ids and ``end``, cut only if longer than ``length``."""
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches):
         encode = coder(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
                 which, piece, start, size, crc = [], [], [], [], []
                 for i, ids in enumerate(encode([t or "" for t in part.column(1).to_pylist()])):
                     raw = np.array([*ids, end], "<u4")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -106,6 +106,8 @@ def words(column: pa.Array | pa.ChunkedArray) -> Iterator[Words]:
         end = np.flatnonzero(word & ~after) + 1
         yield Words(a, raw, rows, start, end, np.searchsorted(start, rows))
         a = b
+    # workers are used again by other stages: what the batch took goes back
+    pa.default_memory_pool().release_unused()
 
 
 _STEPS = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Look-alike letters of other scripts and the Latin letters that they stand for.
 LOOKALIKES = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o",
@@ -116,6 +118,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seeds: tuple = SEEDS, exceptions: tuple = EXCEPTIONS) -> Lexicon:
     """A lexicon from labelled rows of ``docs(doc_id, text)``; without labels, the seeds with a fixed scale."""
+    small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, sample)
 
     def count(batches):
@@ -219,6 +222,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # MOST_ENTRIES entries at most
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches):
         score = shared.value.matcher()
