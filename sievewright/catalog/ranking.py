@@ -225,11 +225,11 @@ SETS = f"WITH t AS (SELECT doc_id, list_distinct({sql_terms('lower(text)')}) AS
 
 @query(SETS + " SELECT a, b, round_even(jaccard, 6) AS jaccard FROM p")
 def x10_near_pairs(spark, sf):
-    sets = index.term_sets(index.flat_terms(tables.corpus(spark, sf), "doc_id", "body"))
+    sets = index.term_sets(text_index(spark, sf).zoned)
     return rounded(dedup.all_pairs(sets, 0.8), "jaccard")
 
 
 @query("WITH RECURSIVE " + SETS.removeprefix("WITH ") + ", e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT a AS doc_id, a AS g FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.g) SELECT doc_id, min(g) AS group_id FROM r GROUP BY doc_id")
 def x10_near_groups(spark, sf):
-    sets = index.term_sets(index.flat_terms(tables.corpus(spark, sf), "doc_id", "body"))
+    sets = index.term_sets(text_index(spark, sf).zoned)
     return dedup.groups(dedup.near_pairs(sets, 0.8))

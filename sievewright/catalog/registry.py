@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -152,13 +154,27 @@ def batch(spark: SparkSession, rows=BATCH) -> DataFrame:
     return spark.createDataFrame(list(rows), "query_id int, query string")
 
 
+_saved: dict[tuple[str, str, str], Index] = {}
+
+
+def _shared(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[], Index]) -> Index:
+    """An index that is built once in a session, saved in the shared folder and read from there by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _saved:
+        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="index-")
+        path = f"{root.rstrip('/')}/index-{kind}-{uuid.uuid4().hex}"
+        build().save(path)
+        _saved[key] = Index.load(spark, path)
+    return _saved[key]
+
+
 def catalog_index(spark: SparkSession, sf_dir: str) -> Index:
-    return Index.build(tables.listings(spark, sf_dir))
+    return _shared(spark, sf_dir, "listings", lambda: Index.build(tables.listings(spark, sf_dir)))
 
 
 def text_index(spark: SparkSession, sf_dir: str) -> Index:
     docs = tables.corpus(spark, sf_dir)
-    return Index.build(docs.withColumnRenamed("doc_id", "id"), index.flat_terms(docs, "doc_id", "body"))
+    return _shared(spark, sf_dir, "documents", lambda: Index.build(docs.select(F.col("doc_id").alias("id"), "title", "lang", "source"), index.flat_terms(docs, "doc_id", "body")))
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:

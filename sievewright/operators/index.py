@@ -95,19 +95,24 @@ class Index:
         return cls(listings, zoned, tf, terms, postings(tf, terms), n)
 
     def save(self, path: str) -> None:
-        """Tables under ``path``: postings and terms partitioned by zone and sorted by term, so that a search for a
-        few terms skips row groups. The manifest is written last: without it there is no index."""
-        self.posts.repartitionByRange("zone", "term").sortWithinPartitions("zone", "term").write.mode("overwrite").partitionBy("zone").parquet(f"{path}/postings")
-        self.terms.repartitionByRange("zone", "term").sortWithinPartitions("term").write.mode("overwrite").partitionBy("zone").parquet(f"{path}/terms")
-        self.zoned.write.mode("overwrite").partitionBy("zone").parquet(f"{path}/zoned")
+        """Tables under ``path``: term frequencies and zone terms once, and postings and terms made from what was
+        written, partitioned by zone and sorted by term, so that a search for a few terms skips row groups. The
+        manifest is written last: without it there is no index."""
+        spark = self.listings.sparkSession
         self.listings.write.mode("overwrite").parquet(f"{path}/listings")
-        self.listings.sparkSession.createDataFrame([(self.n,)], "n long").write.mode("overwrite").parquet(f"{path}/manifest")
+        self.zoned.write.mode("overwrite").partitionBy("zone").parquet(f"{path}/zoned")
+        self.tf.write.mode("overwrite").partitionBy("zone").parquet(f"{path}/tf")
+        tf = spark.read.parquet(f"{path}/tf")
+        dictionary(tf, self.n).repartitionByRange("zone", "term").sortWithinPartitions("term").write.mode("overwrite").partitionBy("zone").parquet(f"{path}/terms")
+        made = postings(tf, spark.read.parquet(f"{path}/terms"))
+        made.repartitionByRange("zone", "term").sortWithinPartitions("zone", "term").write.mode("overwrite").partitionBy("zone").parquet(f"{path}/postings")
+        spark.createDataFrame([(self.n,)], "n long").write.mode("overwrite").parquet(f"{path}/manifest")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         n = spark.read.parquet(f"{path}/manifest").first().n
         zoned, posts = spark.read.parquet(f"{path}/zoned"), spark.read.parquet(f"{path}/postings")
-        return cls(spark.read.parquet(f"{path}/listings"), zoned, term_frequencies(zoned), spark.read.parquet(f"{path}/terms"), posts, n)
+        return cls(spark.read.parquet(f"{path}/listings"), zoned, spark.read.parquet(f"{path}/tf"), spark.read.parquet(f"{path}/terms"), posts, n)
 
     @classmethod
     def load_or_build(cls, listings: DataFrame, path: str, stemming: bool = False) -> Index:
