@@ -14,17 +14,27 @@ class _Career:
         self.kept = fit.relevant(rank.top_k(self.s.hybrid, 50))
         self.skills = fit.record_skills(self.s.ix.listings)
         self.required = fit.requirements(self.kept, self.skills)
-        self.people = tables.profiles(spark, sf).where("profile_id < 20")
+        self.people = tables.profiles(spark, sf)
         self.mine = fit.profile_skills(self.people)
-        self.needs = fit.gap(self.people.select("profile_id").crossJoin(F.broadcast(self.required)), self.mine)  # requirements of a batch: hundreds of rows
+        able = fit.met(self.people, self.required, self.mine)
+        needs = able.crossJoin(F.broadcast(self.required))  # requirements of a batch: hundreds of rows
+        self.needs = needs.withColumn("mine", F.try_element_at("met", F.col("key"))).drop("met")
 
     def fits(self):
-        """Coverage of the relevant rows of query 1 for each profile, without a role component."""
-        rows = self.kept.where("query_id = 1").select("doc_id", "score")
-        needs = fit.covered(self.people.select("profile_id").crossJoin(F.broadcast(rows.join(self.skills, "doc_id"))), self.mine)
-        cover = fit.skill_coverage(needs, self.s.ix.terms)
+        """Coverage of the relevant rows of every query for each profile, without a role component."""
+        rows = self.kept.select("query_id", "doc_id", "score")
+        asked = rows.select("doc_id").distinct().join(self.skills, "doc_id")
+        cover = fit.coverage_of(fit.met(self.people, asked, self.mine), rows, self.skills, self.s.ix.terms)
         none = cover.select("profile_id", "doc_id", F.lit(None).cast("double").alias("role")).limit(0)
-        return fit.fit(cover, none).join(rows, "doc_id")
+        return fit.fit(cover, none)
+
+    def listings(self):
+        """The records of relevant rows: fifty a query at most."""
+        kept = self.kept.select(F.col("doc_id").alias("id")).distinct()
+        return F.broadcast(self.s.ix.listings.join(F.broadcast(kept), "id", "left_semi"))
+
+
+EACH = ("profile_id", "query_id")
 
 
 @query("SELECT query_id, doc_id, round_even(score, 6) AS score FROM rel", ("rel",))
@@ -69,12 +79,12 @@ COVER = """, w AS (SELECT profile_id, r.doc_id, any_value(r.score) AS score, cou
 
 @query(COVER + "SELECT profile_id, doc_id, round_even(coverage, 6) AS coverage, have, missing FROM w", ("few", "rel", "dskill", "dict", "mine"))
 def a06_coverage(spark, sf):
-    return rounded(_Career(spark, sf).fits().select("profile_id", "doc_id", "coverage", "have", "missing"), "coverage")
+    return rounded(_Career(spark, sf).fits().select(*EACH, "doc_id", "coverage", "have", "missing"), "coverage")
 
 
 @query(COVER + "SELECT profile_id, doc_id, round_even(coverage, 6) AS fit FROM w", ("few", "rel", "dskill", "dict", "mine"))
 def a07_fit(spark, sf):
-    return rounded(_Career(spark, sf).fits().select("profile_id", "doc_id", "fit"), "fit")
+    return rounded(_Career(spark, sf).fits().select(*EACH, "doc_id", "fit"), "fit")
 
 
 @query(
@@ -85,7 +95,7 @@ SELECT profile_id, doc_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (
 )
 def k09_recommended(spark, sf):
     c = _Career(spark, sf)
-    return fit.recommended(c.fits(), c.s.ix.listings, 8).select("profile_id", "doc_id", "rank")
+    return fit.recommended(c.fits(), c.listings(), 8, EACH).select(*EACH, "doc_id", "rank")
 
 
 @query(
@@ -96,7 +106,7 @@ SELECT profile_id, company, jobs, round_even(best, 6) AS best_fit, rank::INT AS
 )
 def a09_company_rollup(spark, sf):
     c = _Career(spark, sf)
-    return rounded(fit.by_company(c.fits(), c.s.ix.listings).select("profile_id", "company", "jobs", "best_fit", "rank"), "best_fit")
+    return rounded(fit.by_company(c.fits(), c.listings(), 8, EACH).select(*EACH, "company", "jobs", "best_fit", "rank"), "best_fit")
 
 
 @query("SELECT profile_id, role, array_to_string(skills, '|') AS skills FROM profile", ("profile",))

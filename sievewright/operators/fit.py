@@ -41,6 +41,18 @@ def covered(needs: DataFrame, skills: DataFrame) -> DataFrame:
     return needs.join(first, ["profile_id", "key"], "left")
 
 
+def met(profiles: DataFrame, keys: DataFrame, skills: DataFrame) -> DataFrame:
+    """(profile_id, met) of every profile: each of ``keys(key)`` that it covers, with the first of its skills that does.
+
+    ``keys`` is what a batch of queries asks for, a bounded list. Different skills are compared with it once, and the
+    skills of profiles then meet the pairs by an equi-join.
+    """
+    pairs = skills.select("mine").distinct().join(F.broadcast(keys.select("key").distinct()), covers(F.col("mine"), F.col("key")))
+    first = skills.join(pairs, "mine").groupBy("profile_id", "key").agg(F.min_by("mine", "pos").alias("mine"))
+    each = first.groupBy("profile_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "mine"))).alias("met"))
+    return profiles.select("profile_id").join(each, "profile_id", "left").withColumn("met", F.coalesce("met", F.expr("cast(map() as map<string, string>)")))
+
+
 def profile_skills(profiles: DataFrame) -> DataFrame:
     """(profile_id, pos, mine)."""
     return profiles.select("profile_id", F.posexplode(F.transform("skills", canon)).alias("pos", "mine"))
@@ -54,6 +66,18 @@ def skill_coverage(needs: DataFrame, terms: DataFrame) -> DataFrame:
     return w.groupBy("profile_id", "doc_id").agg(F.try_divide(F.sum(F.when(has, F.col("w")).otherwise(0.0)), F.sum("w")).alias("coverage"), F.count_if(has).alias("have"), F.count_if(~has).alias("missing"))
 
 
+def coverage_of(people: DataFrame, rows: DataFrame, skills: DataFrame, terms: DataFrame) -> DataFrame:
+    """``skill_coverage`` of bounded ``rows(doc_id, …)``, whose other columns stay, for each of ``people(profile_id, met)``."""
+    idf = terms.where("zone = 'Skills'").select(F.replace("term", F.lit("_"), F.lit(" ")).alias("key"), "idf")
+    each = rows.select("doc_id").distinct().join(skills, "doc_id").join(idf, "key", "left")
+    asked = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("key", (F.coalesce("idf", F.lit(1.0)) + 0.1).alias("w")))).alias("asked"))
+    both = people.crossJoin(F.broadcast(rows.join(asked, "doc_id")))  # the relevant rows of a batch: fifty a query at most
+    weight = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x["w"])
+    both = both.withColumn("had", F.filter("asked", lambda x: F.map_contains_key("met", x["key"])))
+    both = both.withColumns({"coverage": F.try_divide(weight(F.col("had")), weight(F.col("asked"))), "have": F.size("had").cast("long"), "missing": (F.size("asked") - F.size("had")).cast("long")})
+    return both.drop("met", "asked", "had")
+
+
 def fit(coverage: DataFrame, roles: DataFrame) -> DataFrame:
     """(profile_id, doc_id, coverage, role, fit): weighted mean of the components that there are."""
     both = coverage.join(roles, ["profile_id", "doc_id"], "full")
@@ -107,19 +131,19 @@ def plan(gaps: DataFrame) -> DataFrame:
     return gaps.where("mine is null").select("profile_id", "query_id", F.row_number().over(w).alias("position"), "key", "priority", why.alias("why"))
 
 
-def recommended(fits: DataFrame, listings: DataFrame, k: int) -> DataFrame:
-    """(profile_id, doc_id, fit, score, rank): best fit, then score, then id; one per title and company."""
+def recommended(fits: DataFrame, listings: DataFrame, k: int, by: tuple[str, ...] = ("profile_id",)) -> DataFrame:
+    """(by…, doc_id, fit, score, rank): best fit, then score, then id; one per title and company."""
     order = [F.desc(F.round("fit", 12)), F.desc(F.round("score", 12)), "doc_id"]
     named = fits.join(listings.select(F.col("id").alias("doc_id"), F.lower("title").alias("t"), F.lower("company").alias("c")), "doc_id")
-    one = named.withColumn("r", F.row_number().over(W.partitionBy("profile_id", "t", "c").orderBy(*order))).where("r = 1")
-    return one.withColumn("rank", F.row_number().over(W.partitionBy("profile_id").orderBy(*order))).where(F.col("rank") <= k).select("profile_id", "doc_id", "fit", "score", "rank")
+    one = named.withColumn("r", F.row_number().over(W.partitionBy(*by, "t", "c").orderBy(*order))).where("r = 1")
+    return one.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k).select(*by, "doc_id", "fit", "score", "rank")
 
 
-def by_company(fits: DataFrame, listings: DataFrame, k: int = 8) -> DataFrame:
-    """(profile_id, company, jobs, best_fit, best_score, rank)."""
+def by_company(fits: DataFrame, listings: DataFrame, k: int = 8, by: tuple[str, ...] = ("profile_id",)) -> DataFrame:
+    """(by…, company, jobs, best_fit, best_score, rank)."""
     named = fits.join(listings.select(F.col("id").alias("doc_id"), "company"), "doc_id")
-    rolled = named.groupBy("profile_id", "company").agg(F.count("*").alias("jobs"), F.max("fit").alias("best_fit"), F.max("score").alias("best_score"))
-    w = W.partitionBy("profile_id").orderBy(F.desc(F.round("best_fit", 12)), F.desc("jobs"), "company")
+    rolled = named.groupBy(*by, "company").agg(F.count("*").alias("jobs"), F.max("fit").alias("best_fit"), F.max("score").alias("best_score"))
+    w = W.partitionBy(*by).orderBy(F.desc(F.round("best_fit", 12)), F.desc("jobs"), "company")
     return rolled.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
