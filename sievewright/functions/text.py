@@ -109,9 +109,13 @@ def location_text(location: Column, country: Column) -> Column:
     return F.when(F.contains(F.lower(location), F.lower(country)), location).otherwise(F.concat(location, F.lit(", "), country))
 
 
+#: What Python's str.split() takes for white space; \s of Java is ASCII only.
+SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def squeezed(text: Column) -> Column:
     """White space runs as one space, none at the ends; null becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
 
 
 def portable_hash(id_: Column, seed: int) -> Column:

@@ -1,11 +1,14 @@
 """Queries do the whole job: where their SQL is cut to a part, the same SQL without the cut gives all rows."""
 
+from collections import Counter
+
 import duckdb
 import pandas as pd
 import pytest
 
 from sievewright.catalog import ORACLES, QUERIES
 from sievewright.catalog.registry import BATCH
+from sievewright.functions.text import squeezed
 
 SF = "/root/testdata/sf0.001"
 TABLES = "customer lineitem nation orders part supplier".split()
@@ -39,3 +42,13 @@ def test_all_profiles_and_queries(spark, duck, name):
     assert FEW in ORACLES[name] and "WHERE query_id = 1" in ORACLES[name]
     parts = [duck.execute(ORACLES[name].replace(FEW, "").replace("WHERE query_id = 1", f"WHERE query_id = {i}")).df().assign(query_id=i) for i, _ in BATCH]
     assert plain(got) == plain(pd.concat(parts))
+
+
+def test_texts_of_any_characters_are_squeezed(spark):
+    texts = spark.read.parquet(f"{SF}/conversations.parquet").select("text").collect()
+    want = Counter(" ".join((r.text or "").split()) for r in texts)
+    assert any(not t.isascii() for t in want)
+    assert {r.text: r.n for r in QUERIES["e01_squeezed"](spark, SF).collect()} == want
+    odd = [c.join(["", "é", "b", ""]) for c in map(chr, range(0x3100)) if c.isspace()] + ["\u200b a", "", None]
+    got = spark.createDataFrame([(t,) for t in odd], "text string").select("text", squeezed("text").alias("s")).collect()
+    assert [r.s for r in got] == [" ".join((r.text or "").split()) for r in got]
