@@ -34,9 +34,13 @@ def scored_systems(ix: Index, queries: DataFrame, qrels: DataFrame, seeds: list[
     s = Search(ix, queries, cfg)
     parts = []
     for name in systems:
-        for seed in seeds:
-            ranked = s.baseline(name, 10, seed)
-            parts.append(evaluate.metrics(ranked, qrels, ["query_id"]).select(F.lit(name).alias("system"), F.lit(seed).alias("seed"), "query_id", *METRICS))
+        if name == "hybrid" and cfg.diversity:  # spread out anew under each seed
+            ranked = [s.baseline(name, 10, seed).withColumn("seed", F.lit(seed)) for seed in seeds]
+        else:
+            scores = s.scores if name == "hybrid" else s.baseline_scores(name)
+            ranked = [rank.many_seeds(scores, seeds, 10, positive=name != "hybrid")]
+        for r in ranked:
+            parts.append(evaluate.metrics(r, qrels, ["seed", "query_id"]).select(F.lit(name).alias("system"), "seed", "query_id", *METRICS))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -70,10 +70,8 @@ class Search:
         pool = rank.top_k(self.scores, self.cfg.pool * k, seed)
         return rank.diversified(pool, index.term_sets(self.ix.zoned), k, self.cfg.epsilon)
 
-    def baseline(self, system: str, k: int, seed: int | None = None) -> DataFrame:
-        """Rankings of "hybrid", "keyword", "tfidf", "tfidf_jaccard" or "bm25"; baselines leave out scores of zero."""
-        if system == "hybrid":
-            return self.ranked(k, seed).select("query_id", "doc_id", "score", "rank")
+    def baseline_scores(self, system: str) -> DataFrame:
+        """(query_id, doc_id, score) of "keyword", "tfidf", "tfidf_jaccard" or "bm25"."""
         if system == "keyword":
             found = score.keyword(self.flat_words, self.ix.tf)
         elif system == "bm25":
@@ -83,7 +81,13 @@ class Search:
             cosines = score.cosine(flat, self.ix.posts, self.allowed).select("query_id", "doc_id", "cosine")
             cfg = self.cfg if system == "tfidf_jaccard" else self.cfg.override(w_cosine=1.0, w_jaccard=0.0)
             found = score.hybrid(cosines, score.jaccard(self.flat_words, self.ix.tf), cfg)
-        return rank.top_k(found.select("query_id", "doc_id", "score"), k, seed, positive=True)
+        return found.select("query_id", "doc_id", "score")
+
+    def baseline(self, system: str, k: int, seed: int | None = None) -> DataFrame:
+        """Rankings of "hybrid", "keyword", "tfidf", "tfidf_jaccard" or "bm25"; baselines leave out scores of zero."""
+        if system == "hybrid":
+            return self.ranked(k, seed).select("query_id", "doc_id", "score", "rank")
+        return rank.top_k(self.baseline_scores(system), k, seed, positive=True)
 
     def results(self, k: int = 10, sort: str = "best") -> DataFrame:
         """Ranked rows with their records and reasons; records are joined after the cut."""

@@ -28,20 +28,20 @@ def role_present(s: Search) -> DataFrame:
     return best.select("query_id", (F.col("best") >= ROLE_PRESENT).alias("present"))
 
 
-def role_similarity(ix: Index, profiles: DataFrame) -> DataFrame:
-    """(profile_id, doc_id, role): title cosine of each profile's role with the records."""
+def role_similarity(ix: Index, profiles: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(profile_id, doc_id, role): title cosine of each profile's role with the records, or with ``allowed(doc_id)`` of them."""
     words = analyze.query_words(profiles.where("role is not null").select(F.col("profile_id").alias("query_id"), F.col("role").alias("query")))
     wanted = analyze.query_terms(words).select("query_id", F.lit("Title").alias("zone"), "term", "tf", F.lit(1.0).alias("boost"))
-    return score.cosine(analyze.query_vectors(wanted, ix.terms), ix.posts).select(F.col("query_id").alias("profile_id"), "doc_id", F.col("cosine").alias("role"))
+    return score.cosine(analyze.query_vectors(wanted, ix.terms), ix.posts, allowed).select(F.col("query_id").alias("profile_id"), "doc_id", F.col("cosine").alias("role"))
 
 
 def job_fit(ix: Index, profiles: DataFrame, rows: DataFrame) -> DataFrame:
     """(profile_id, doc_id, coverage, role, fit) of ``rows(doc_id)`` for ``profiles(profile_id, role, skills)``."""
-    needs = profiles.select("profile_id").crossJoin(rows.select("doc_id").distinct()).join(fit.record_skills(ix.listings), "doc_id")  # a result page for each profile
-    cover = fit.skill_coverage(fit.covered(needs, fit.profile_skills(profiles)), ix.terms)
+    page, skills, mine = rows.select("doc_id").distinct(), fit.record_skills(ix.listings), fit.profile_skills(profiles)
+    cover = fit.coverage_of(fit.met(profiles, page.join(skills, "doc_id"), mine), page, skills, ix.terms)  # a result page for each profile
     # a known role without a common title word has similarity zero
-    pairs = profiles.where("role is not null").select("profile_id").crossJoin(rows.select("doc_id").distinct())
-    roles = pairs.join(role_similarity(ix, profiles), ["profile_id", "doc_id"], "left").select("profile_id", "doc_id", F.coalesce("role", F.lit(0.0)).alias("role"))
+    pairs = profiles.where("role is not null").select("profile_id").crossJoin(F.broadcast(page))
+    roles = pairs.join(role_similarity(ix, profiles, page), ["profile_id", "doc_id"], "left").select("profile_id", "doc_id", F.coalesce("role", F.lit(0.0)).alias("role"))
     return fit.fit(cover, roles)
 
 

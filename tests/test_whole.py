@@ -6,9 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sievewright.catalog import ORACLES, QUERIES
+from sievewright.catalog import ORACLES, QUERIES, operations
 from sievewright.catalog.registry import BATCH
 from sievewright.functions.text import squeezed
+from sievewright.sources import tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "customer lineitem nation orders part supplier".split()
@@ -52,3 +53,26 @@ def test_texts_of_any_characters_are_squeezed(spark):
     odd = [c.join(["", "é", "b", ""]) for c in map(chr, range(0x3100)) if c.isspace()] + ["\u200b a", "", None]
     got = spark.createDataFrame([(t,) for t in odd], "text string").select("text", squeezed("text").alias("s")).collect()
     assert [r.s for r in got] == [" ".join((r.text or "").split()) for r in got]
+
+
+def test_transition_of_all_profiles(spark):
+    got = {r.profile_id for r in QUERIES["c07_transition"](spark, SF).collect()}
+    assert got == {r.profile_id for r in tables.profiles(spark, SF).collect()}
+
+
+def test_sensitivity_over_ten_seeds(spark, monkeypatch):
+    seen = []
+    real = operations.evaluation.sensitivity
+    monkeypatch.setattr(operations.evaluation, "sensitivity", lambda ix, queries, qrels, seeds: seen.extend(seeds) or real(ix, queries, qrels, seeds))
+    QUERIES["a15_sensitivity"](spark, SF)
+    assert len(set(seen)) == 10
+
+
+def test_significance_of_three_systems_and_ten_thousand_trials(spark, monkeypatch):
+    seen = []
+    real = operations.evaluation.scored_systems
+    monkeypatch.setattr(operations.evaluation, "scored_systems", lambda ix, queries, qrels, seeds, *more: seen.extend(seeds) or real(ix, queries, qrels, seeds, *more))
+    got = QUERIES["a16_significance"](spark, SF).collect()
+    assert len(set(seen)) == 10
+    assert {(r.system, r.metric) for r in got} == {(s, m) for s in ("keyword", "tfidf", "bm25") for m in ("p5", "ap5", "ndcg10")}
+    assert all(abs(r.p * 10_001 - round(r.p * 10_001)) < 0.02 or r.p == 1 for r in got) and any(r.p < 1 for r in got)
