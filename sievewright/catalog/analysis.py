@@ -99,7 +99,7 @@ def q09_term_table(spark, sf):
 @query()
 def q08_suggestions(spark, sf):
     ix, words, skills, _ = _analysis(spark, sf)
-    vocabulary = [r.term for r in ix.terms.where("zone = 'Title' and not contains(term, '_')").select("term").orderBy("term").limit(200_000).collect()]
+    vocabulary = ix.terms.where("zone = 'Title' and not contains(term, '_')").select("term")
     return analyze.close_words(analyze.unknown_words(words, ix.terms, skills), vocabulary).withColumn("suggestions", F.array_join("suggestions", ","))
 
 

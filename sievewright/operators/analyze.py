@@ -7,7 +7,6 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window as W
 
 from ..config import Ranking
@@ -90,19 +89,37 @@ def unknown_words(words: DataFrame, terms: DataFrame, skills: DataFrame) -> Data
     return each.join(terms.where("zone = 'flat'").select("term"), "term", "left_anti").join(parts, ["query_id", "term"], "left_anti").select("query_id", "word").distinct()
 
 
-def close_words(unknown: DataFrame, vocabulary: list[str], n: int = 3, cutoff: float = 0.75) -> DataFrame:
-    """``unknown(…, word)`` with its closest vocabulary words (Ratcliff-Obershelp). The vocabulary is that of titles."""
-    by_length: dict[int, list[str]] = {}
-    for v in vocabulary:
-        by_length.setdefault(len(v), []).append(v)
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        # the ratio is at most twice the shorter length over both, so other lengths cannot reach the cutoff
-        fit = lambda w: [v for k, vs in by_length.items() if 2 * min(k, len(w)) >= cutoff * (k + len(w)) for v in vs]
-        return s.map(lambda w: difflib.get_close_matches(w, fit(w), n=n, cutoff=cutoff))
-
-    return unknown.withColumn("suggestions", run(F.col("word")))
+def close_words(unknown: DataFrame, vocabulary: list[str] | DataFrame, n: int = 3, cutoff: float = 0.75) -> DataFrame:
+    """``unknown(…, word)`` with its closest vocabulary words (Ratcliff-Obershelp). The vocabulary is that of titles:
+    a list, or ``(term)`` of any size, which is scored where it lies."""
+    if isinstance(vocabulary, list):
+        vocabulary = unknown.sparkSession.createDataFrame([(v,) for v in vocabulary], "term string")
+    close = closest(unknown.select("word").distinct(), vocabulary.select("term"), n, cutoff)
+    return unknown.join(close, "word", "left").withColumn("suggestions", F.coalesce("suggestions", F.expr("cast(array() as array<string>)"))).select(*unknown.columns, "suggestions")
+
+
+def closest(words: DataFrame, names: DataFrame, n: int, cutoff: float) -> DataFrame:
+    """(word, suggestions): the n closest of all ``names(term)`` to each of few ``words(word)``, as difflib.get_close_matches
+    picks them (equal ratios: the later name first). Words are broadcast; names are scored in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def ratio(word: pd.Series, term: pd.Series) -> pd.Series:
+        out, of = [], {}
+        for w, t in zip(word, term, strict=True):
+            if w not in of:
+                of[w] = difflib.SequenceMatcher()
+                of[w].set_seq2(w)
+            m = of[w]
+            m.set_seq1(t)
+            out.append(m.ratio() if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    # the ratio is at most twice the shorter length over both, so other lengths cannot reach the cutoff
+    a, b = F.length("word"), F.length("term")
+    pairs = names.distinct().join(F.broadcast(words), 2 * F.least(a, b) >= cutoff * (a + b) - 1e-9)
+    near = pairs.withColumn("ratio", ratio("word", "term")).where(F.col("ratio") >= cutoff)
+    top = near.withColumn("r", F.row_number().over(W.partitionBy("word").orderBy(F.desc("ratio"), F.desc("term")))).where(F.col("r") <= n)
+    return top.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]).alias("suggestions"))
 
 
 def term_table(vectors: DataFrame, terms: DataFrame) -> DataFrame:

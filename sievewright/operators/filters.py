@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import NotFound, QueryError
 from ..functions.skills import canon
+from .analyze import closest
 
 FIELDS = ("company", "country", "workplace", "schedule", "role_family")
 
@@ -41,10 +40,9 @@ def resolve_company(listings: DataFrame, name: str) -> tuple[str | None, list[st
     if found:
         return found[0].company, []
     names = listings.select(F.lower("company").alias("low"), "company").groupBy("low").agg(F.min("company").alias("company"))
-    # only names whose length allows the cutoff come to the driver
-    near = names.where(2 * F.least(F.length("low"), F.lit(len(key))) >= 0.8 * (F.length("low") + len(key))).orderBy("low").limit(100_000).collect()
-    table = {r.low: r.company for r in near}
-    close = [table[c] for c in difflib.get_close_matches(key, list(table), n=5, cutoff=0.8)]
+    words = listings.sparkSession.createDataFrame([(key,)], "word string")
+    found = closest(words, names.select(F.col("low").alias("term")), 5, 0.8).select(F.posexplode("suggestions").alias("at", "low"))
+    close = [r.company for r in found.join(names, "low").orderBy("at").collect()]
     inside = [r.company for r in names.where(F.contains("low", F.lit(key))).orderBy("low").limit(5).collect()] if key else []
     return None, list(dict.fromkeys(close + inside))[:6]
 
