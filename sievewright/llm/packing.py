@@ -71,7 +71,10 @@ def coder(path: str):
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document: its ids and ``end``, cut only if longer than ``length``."""
+    """(doc_id, piece, start, length, ids_crc32) of every document: its ids and ``end``, cut only if longer than ``length``.
+
+    All pieces but the first have ``length`` ids; the first has what is left over.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     small_batches(docs.sparkSession)
 
@@ -83,8 +86,10 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
                 which, piece, start, size, crc = [], [], [], [], []
                 for i, ids in enumerate(encode([t or "" for t in part.column(1).to_pylist()])):
                     raw = np.array([*ids, end], "<u4")
-                    for k, at in enumerate(range(0, len(raw), length)):
-                        cut = raw[at : at + length]
+                    ends = range(len(raw) % length or length, len(raw) + 1, length)
+                    for k, to in enumerate(ends):
+                        at = max(0, to - length)
+                        cut = raw[at:to]
                         which.append(i)
                         piece.append(k)
                         start.append(at)
