@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and has at most so many narrow rows; else both sides shuffle.
@@ -20,14 +21,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a local session may do without the setting."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="sievewright-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
 
 
+def free(names: list[str], *wanted: str) -> list[str]:
+    """``wanted``, with underscores added until they are none of ``names`` in any case."""
+    held, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in held:
+            w += "_"
+        held.add(w.lower())
+        out.append(w)
+    return out
+
+
 #: Texts handed to Python at a time. A batch is held several times over (JVM, socket, worker), so it bounds memory.
 BATCH_ROWS = 500
 
@@ -81,6 +95,16 @@ class Scratch:
             _delete(self.spark, t._scratch_path)
 
 
+def without(docs: DataFrame, out: DataFrame, id_col: str, mark: Column) -> DataFrame:
+    """``docs`` less the rows whose id and ``mark`` (a hash of what the verdict rests on) are in ``out(id, mark)``, a written table.
+
+    Names in ``docs`` may be any; nulls match nulls. Where ``out`` is large both sides shuffle by a hash of the row.
+    """
+    i, m = free(docs.columns, "id", "mark")
+    out = out.select(F.col("id").alias(i), F.col("mark").alias(m))
+    return docs.join(small(out), docs[id_col].eqNullSafe(out[i]) & mark.eqNullSafe(out[m]), "left_anti")
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to be small; ``df`` as it is (a shuffled join) if not.
 

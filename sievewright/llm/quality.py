@@ -1,7 +1,10 @@
 """Quality rules with adaptive thresholds.
 
-Counts of each text are made by vectorised kernels; thresholds come from KLL quantile sketches per (lang, source),
-merged upwards to the language and to the corpus for groups with few texts; a join brings each text its limits.
+Counts of each text are made by vectorised kernels; thresholds come from quantile sketches per (lang, source), merged
+upwards to the language and to the corpus for groups with few texts; a join brings each text its limits.
+
+A sketch is a histogram of fixed cells, 64 to each doubling of a value, so merging is adding up: neither the order of
+rows nor a task that runs twice can change a limit. A quantile is off by one part in 64 at most.
 """
 
 from __future__ import annotations
@@ -10,23 +13,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import Scratch, small
+from .common import BROADCAST_ROWS, Scratch, free, small, without
 from .textkernel import SPACE, Words, _powers, mix64, window_hashes, words
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
-#: measure -> (as a share of the counts, least slack beyond the fence)
+#: measure -> (numerator and denominator of the counts, least slack beyond the fence)
 MEASURES = {
-    "word_length": ("word_chars / n_words", 1.5),
-    "symbol_share": ("n_symbols / n_words", 0.1),
-    "line_repeat_share": ("n_dup_lines / greatest(n_lines, 1)", 0.4),
-    "word_repeat_share": ("n_repeat_words / n_words", 0.3),
+    "word_length": ("word_chars", "n_words", 1.5),
+    "symbol_share": ("n_symbols", "n_words", 0.1),
+    "line_repeat_share": ("n_dup_lines", "n_lines", 0.4),
 }
-SPREADS = 8.0  # half-spreads (median to the quartile on the other side) between the median and the fence
+SPREADS = 8  # half-spreads (median to the quartile on the other side) between the median and the fence
 LEAST_TEXTS = 100  # a group with fewer texts takes the limits of its language, a language with fewer those of the corpus
+UNIT = 1 << 16  # values are whole numbers of so many parts of one
+CELLS = 64  # sketch cells to each doubling of a value
 
 
 def _per_row(chunk: Words, row_of: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +83,8 @@ def _counts(chunk: Words, window: int) -> np.ndarray:
     return out
 
 
-def with_counts(docs: DataFrame, text: str = "text", window: int = 8) -> DataFrame:
-    """``docs`` with a struct column ``_q`` of COUNTS. A null text has zeros."""
+def with_counts(docs: DataFrame, text: str = "text", window: int = 8, name: str = "_q") -> DataFrame:
+    """``docs`` with a struct column ``name`` of COUNTS. A null text has zeros."""
     names = docs.columns
     at = names.index(text)
 
@@ -88,9 +93,9 @@ def with_counts(docs: DataFrame, text: str = "text", window: int = 8) -> DataFra
             parts = [_counts(chunk, window) for chunk in words(batch.column(at))]
             made = np.concatenate(parts) if parts else np.zeros((0, len(COUNTS)), np.int64)
             q = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(made[:, k])) for k in range(len(COUNTS))], list(COUNTS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, q], [*names, "_q"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, q], [*names, name])
 
-    schema = docs.select("*", F.lit(None).cast("struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ">").alias("_q")).schema
+    schema = docs.select("*", F.lit(None).cast("struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ">").alias(name)).schema
     return docs.mapInArrow(run, schema)
 
 
@@ -99,55 +104,96 @@ def base_failed(q: Column) -> Column:
     return (q["n_words"] < 20) | (100 * q["n_repeat_words"] > 30 * q["n_words"])
 
 
-def _measures(prefix: str) -> list[Column]:
-    out = []
-    for name, (share, _) in MEASURES.items():
-        for c in COUNTS:
-            share = share.replace(c, f"{prefix}.{c}")
-        out.append(F.expr(share).cast("double").alias(name))
-    return out
+def _value(q: Column, measure: str) -> Column:
+    """The measure in whole UNITs, rounded down."""
+    over, under, _ = MEASURES[measure]
+    return F.call_function("div", q[over] * UNIT, F.greatest(q[under], F.lit(1).cast("long")))
+
 
+def _cell(value: Column) -> Column:
+    """The least value of the cell of ``value``: all but its first seven bits are cleared."""
+    bits = F.greatest(F.length(F.bin(value)) - (CELLS.bit_length()), F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", value, bits), bits)
 
-def limits(counted: DataFrame, scratch: Scratch, lang: str = "lang", source: str = "source") -> DataFrame:
-    """(_lang, _source, _limits: struct of lo_<measure> and hi_<measure>) of every group, from sketches of the texts that pass the fixed rules.
 
-    A limit lies SPREADS half-spreads and a least slack beyond the median; the half-spread is taken on the other
-    side of the median, so up to half of a group may be bad without moving its limits far.
+def limits(counted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(lang, source, limits: struct of lo_<measure> and hi_<measure>, in UNITs) of every group of ``counted(lang, source, q)``.
+
+    Only texts that pass the fixed rules count. A limit lies SPREADS half-spreads and a least slack beyond the median;
+    the half-spread is taken on the other side of the median, so up to half of a group may be bad without moving its
+    limits far.
     """
-    rows = counted.where(~base_failed(F.col("_q"))).select(F.col(lang).alias("_lang"), F.col(source).alias("_source"), *_measures("_q"))
-    sketches = [F.expr(f"kll_sketch_agg_double({m})").alias(m) for m in MEASURES]
-    groups = scratch.table(rows.groupBy("_lang", "_source").agg(F.count("*").alias("n"), *sketches), "sketches")
-    merged = [F.expr(f"kll_merge_agg_double({m})").alias(m) for m in MEASURES]
-
-    def cuts(level: str) -> list[Column]:
-        return [F.expr(f"kll_sketch_get_quantile_double({m}, array(0.25D, 0.5D, 0.75D))").alias(f"{level}_{m}") for m in MEASURES]
-
-    own = groups.select("_lang", "_source", "n", *cuts("own"))
-    langs = groups.groupBy("_lang").agg(F.sum("n").alias("n_lang"), *merged).select(F.col("_lang").alias("_of"), "n_lang", *cuts("lang"))
-    whole = groups.agg(*merged).select(F.lit(1).alias("_one"), *cuts("all"))
-    joined = own.join(langs, F.col("_lang").eqNullSafe(F.col("_of"))).withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one")
+    q = F.col("q")
+    each = F.array(*(F.struct(F.lit(m).alias("measure"), _cell(_value(q, m)).alias("cell")) for m in MEASURES))
+    rows = counted.where(~base_failed(q)).select("lang", "source", F.inline(each))
+    sketches = scratch.table(rows.groupBy("lang", "source", "measure", "cell").agg(F.count("*").alias("n")), "sketches")
+
+    def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+        """(by, n, q25, q50, q75): the value whose rank is the quantile's share of n, rounded up."""
+        here = W.partitionBy(*by)  # the cells of a sketch: some thousands at most
+        up = sketch.withColumn("upto", F.sum("n").over(here.orderBy("cell"))).withColumn("all", F.sum("n").over(here))
+        at = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("cell")))
+        return up.groupBy(*by).agg(F.max("all").alias("n"), F.struct(at(1).alias("q25"), at(2).alias("q50"), at(3).alias("q75")).alias("cut"))
+
+    own = quartiles(sketches, ["lang", "source", "measure"])
+    by_lang = quartiles(sketches.groupBy("lang", "measure", "cell").agg(F.sum("n").alias("n")), ["lang", "measure"])
+    whole = quartiles(sketches.groupBy("measure", "cell").agg(F.sum("n").alias("n")), ["measure"])
+    by_lang = by_lang.select(F.col("lang").alias("of"), F.col("measure").alias("m"), F.col("n").alias("n_lang"), F.col("cut").alias("cut_lang"))
+    whole = whole.select(F.col("measure").alias("m"), F.col("cut").alias("cut_all"))  # a row for each measure
+    met = own.join(by_lang, F.col("lang").eqNullSafe(F.col("of")) & (F.col("measure") == F.col("m"))).drop("m").join(F.broadcast(whole), F.col("measure") == F.col("m"))
+    cut = F.when(F.col("n") >= LEAST_TEXTS, F.col("cut")).when(F.col("n_lang") >= LEAST_TEXTS, F.col("cut_lang")).otherwise(F.col("cut_all"))
+    met = met.withColumn("c", cut)
     out = []
-    for m, (_, slack) in MEASURES.items():
-        q = F.when(F.col("n") >= LEAST_TEXTS, F.col(f"own_{m}")).when(F.col("n_lang") >= LEAST_TEXTS, F.col(f"lang_{m}")).otherwise(F.col(f"all_{m}"))
-        out += [(q[1] - SPREADS * (q[2] - q[1]) - slack).alias(f"lo_{m}"), (q[1] + SPREADS * (q[1] - q[0]) + slack).alias(f"hi_{m}")]
-    return scratch.table(joined.select("_lang", "_source", F.struct(*out).alias("_limits")), "limits")
+    for m, (_, _, slack) in MEASURES.items():
+        c, least = F.col("c"), int(slack * UNIT)
+        lo, hi = c["q50"] - SPREADS * (c["q75"] - c["q50"]) - least, c["q50"] + SPREADS * (c["q50"] - c["q25"]) + least
+        out += [F.max(F.when(F.col("measure") == m, x)).alias(f"{side}_{m}") for side, x in (("lo", lo), ("hi", hi))]
+    made = met.groupBy("lang", "source").agg(*out)
+    return scratch.table(made.select("lang", "source", F.struct(*(f"{side}_{m}" for m in MEASURES for side in ("lo", "hi"))).alias("limits")), "limits")
+
+
+def _within(q: Column, found: Column) -> Column:
+    out = F.lit(True)
+    for m in MEASURES:
+        out &= _value(q, m).between(found[f"lo_{m}"], found[f"hi_{m}"])
+    return F.coalesce(out, F.lit(True))
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``docs`` with ``_q`` (COUNTS), ``_failed`` (fixed rules) and ``_kept`` (false if failed or beyond a limit).
+def counted(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """(id, lang, source, mark, q) of every row, written: its counts, and a hash of its text and group. No text is kept."""
+    slim = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.xxhash64(text, lang, source).alias("mark"), F.col(text).alias("text"))
+    return scratch.table(with_counts(slim, "text", name="q").drop("text"), "counts")
 
-    Column names beginning with an underscore are taken to be free. Null languages and sources are groups of their own. A text with few words, none or null fails the fixed
-    rules. Rows are judged one by one: repeated ids and rows do no harm, other columns pass through.
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """(id, lang, source, mark, q: COUNTS, failed: by the fixed rules, kept: false if failed or beyond a limit) of every row.
+
+    Null languages and sources are groups of their own. A text with few words, none or null fails the fixed rules.
+    Rows are judged one by one: repeated ids and rows do no harm. Other columns, whatever their names, are ignored.
+    An empty table, or one of which no text passes the fixed rules, has no limits and gives no other verdicts. Texts
+    are read once and never shuffle; only counts meet the limits. Reruns, retries and other partitionings agree.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    slim = docs.select(*dict.fromkeys([text, lang, source]))
-    found = limits(with_counts(slim, text).drop(text), scratch, lang, source)
-    counted = with_counts(docs, text)
-    # each distinct text group meets its limits; sources are few, and counted before they are broadcast
-    both = counted.join(small(found), F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
-    measures = dict(zip(MEASURES, _measures("_q"), strict=True))
-    within = F.lit(True)
-    for m in MEASURES:
-        within &= measures[m].between(F.col(f"_limits.lo_{m}"), F.col(f"_limits.hi_{m}"))
-    failed = base_failed(F.col("_q"))
-    return both.withColumn("_failed", failed).withColumn("_kept", F.when(failed, False).otherwise(F.coalesce(within, F.lit(True)))).select(*docs.columns, "_q", "_failed", "_kept")
+    rows = counted(docs, scratch, id_col, text, lang, source)
+    found = limits(rows, scratch).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    both = rows.join(small(found), F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
+    failed = base_failed(F.col("q"))
+    return both.select("id", "lang", "source", "mark", "q", failed.alias("failed"), (~failed & _within(F.col("q"), F.col("limits"))).alias("kept"))
+
+
+def passed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, in all their columns, whatever the names of these.
+
+    With a counted, broadcast table of limits texts are read and counted a second time and never shuffle. With more
+    groups than may be broadcast, the ids of rejected rows go out by an anti join, which shuffles by a hash of the row.
+    """
+    scratch = Scratch(docs.sparkSession, "rules")
+    slim = docs.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
+    found = limits(with_counts(slim, "text", name="q").drop("text"), scratch)
+    if found.count() > BROADCAST_ROWS:
+        out = judged(docs, id_col, text, lang, source).where("not kept").select("id", "mark").distinct()
+        return without(docs, scratch.table(out, "rejected"), id_col, F.xxhash64(text, lang, source))
+    q, of_lang, of_source, cut = free(docs.columns, "q", "of_lang", "of_source", "limits")
+    found = F.broadcast(found.withColumnsRenamed({"lang": of_lang, "source": of_source, "limits": cut}))
+    both = with_counts(docs, text, name=q).join(found, F.col(lang).eqNullSafe(F.col(of_lang)) & F.col(source).eqNullSafe(F.col(of_source)), "left")
+    return both.where(~base_failed(F.col(q)) & _within(F.col(q), F.col(cut))).select(*docs.columns)

@@ -46,7 +46,7 @@ FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
 @_query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality.judged(read(spark, sf_dir, "documents"))
-    return q.selectExpr("doc_id", *(f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "_failed as base_failed", "_kept as kept")
+    return q.selectExpr("id as doc_id", *(f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "failed as base_failed", "kept")
 
 
 @_query
