@@ -10,7 +10,7 @@ from sievewright.llm.common import Scratch, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judged(docs).where("_kept").select(*docs.columns)
+    return quality.passed(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
