@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import BROADCAST_ROWS, Scratch, free, small, without
 from .quality import COUNTS, _counts
 from .textkernel import words
 
@@ -35,8 +35,8 @@ def _features(chunk) -> np.ndarray:
     return np.column_stack([np.log1p(c[:, 0]), c[:, 1] / w, np.minimum(c[:, 2] / w, 3), c[:, 4] / lines, c[:, 5] / w, again / w, upper / chars])
 
 
-def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with an array column ``_f`` of FEATURES; a null or empty text has zeros."""
+def with_features(docs: DataFrame, text: str = "text", name: str = "_f") -> DataFrame:
+    """``docs`` with an array column ``name`` of FEATURES; a null or empty text has zeros."""
     names = docs.columns
     at = names.index(text)
 
@@ -45,22 +45,24 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
             parts = [_features(chunk) for chunk in words(batch.column(at))]
             made = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
             f = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * len(FEATURES)), pa.array(made.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, f], [*names, "_f"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, f], [*names, name])
 
-    return docs.mapInArrow(run, docs.select("*", F.array().cast("array<double>").alias("_f")).schema)
+    return docs.mapInArrow(run, docs.select("*", F.array().cast("array<double>").alias(name)).schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[list[float], list[float], list[float]]:
     """(weights with the intercept first, means, scales) of a ridge logistic regression of the quality label.
 
     The intercept is that of balanced classes, so the model gives evidence, not a prior. Fitted on ``sample``
-    labelled rows at most; without both classes all weights are zero.
+    labelled ids at most; without both classes all weights are zero.
     """
-    ids = labels.where(f"quality is not null and {id_col} is not null").groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").cast("int").alias("_y"))
-    ids = F.broadcast(ids.orderBy(F.xxhash64("_id"), "_id").limit(sample))  # sample rows
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_t")).join(ids, "_id").select("_t", "_y")
-    got = with_features(rows, "_t").select("_f", "_y").limit(2 * sample).collect()  # repeated ids can't make it grow
-    x, y = np.array([r["_f"] for r in got], float), np.array([r["_y"] > 0 for r in got], float)
+    ids = labels.where(f"quality is not null and {id_col} is not null").groupBy(F.col(id_col).alias("id")).agg(F.min("quality").cast("int").alias("y"))
+    ids = F.broadcast(ids.orderBy(F.xxhash64("id"), "id").limit(sample))  # sample rows
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(ids, "id").select("id", "y", F.xxhash64("text").alias("mark"), "text")
+    # of rows with one id the one whose text has the least hash, so neither order nor repeats change the model
+    one = with_features(rows, "text", "f").groupBy("id").agg(F.min("y").alias("y"), F.min_by("f", F.struct(F.col("mark"), "f")).alias("f"))
+    got = one.select("f", "y").collect()  # sample rows
+    x, y = np.array([r.f for r in got], float), np.array([r.y > 0 for r in got], float)
     k = len(FEATURES)
     if not len(y) or y.min() == y.max():
         return [0.0] * (k + 1), [0.0] * k, [1.0] * k
@@ -95,30 +97,62 @@ def _strength(n: str, good: str, rate: str) -> Column:
     return F.greatest(F.lit(2.0), F.least(F.lit(1000.0), F.when(spread > 0, chance / spread - 1).otherwise(1000.0)))
 
 
+class Model:
+    """The document classifier, and the rates of hosts and paths, of ``docs``.
+
+    Null hosts and paths are groups of their own. Without labels all rests on the priors. Rates are exact sums, so the
+    order of rows and tasks that run twice change nothing.
+    """
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str, text: str, host: str, path: str, sample: int):
+        self.scratch = scratch = Scratch(docs.sparkSession, "bayes")
+        self.own = fit(docs, labels, id_col, text, sample)
+        self.columns = [F.col(id_col).alias("id"), F.col(host).alias("host"), F.col(path).alias("path"), F.xxhash64(text, host, path).alias("mark"), F.col(text).alias("text")]
+        slim = with_features(docs.select(self.columns), "text", "f")
+        #: (id, host, path, mark, e) of every row: a hash of its text and group, and its own evidence
+        self.rows = scratch.table(slim.select("id", "host", "path", "mark", evidence(F.col("f"), self.own).alias("e")), "evidence")
+        soft = 1 / (1 + F.exp(-F.col("e")))
+        paths = scratch.table(self.rows.groupBy("host", "path").agg(F.count("*").alias("n"), (F.sum(F.round(soft * 1e6).cast("long")) / 1e6).alias("good")), "paths")
+        whole = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
+        overall = (whole.good + 1.0) / (whole.n + 2.0) if whole.n else 0.5
+        hosts = scratch.table(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("rate", F.lit(overall)), "hosts")
+        k = hosts.agg(_strength("n", "good", "rate")).first()[0] or 1000.0
+        hosts = hosts.select(F.col("host").alias("h"), ((F.col("good") + k * F.col("rate")) / (F.col("n") + k)).alias("host_rate"))
+        both = scratch.table(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h"), "both")
+        k = both.agg(_strength("n", "good", "host_rate")).first()[0] or 1000.0
+        #: (of_host, of_path, rates: struct of host_rate and path_rate)
+        self.rates = scratch.table(both.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), F.struct("host_rate", ((F.col("good") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate")).alias("rates")), "rates")
+
+
+def _score(own: Column, rates: Column) -> Column:
+    at = rates["path_rate"]
+    return 1 / (1 + F.exp(-(own + F.log(at / (1 - at)))))
+
+
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with ``_b``: struct of evidence, host_rate, path_rate, score and kept (score >= least).
+    """(id, host, path, mark, evidence, host_rate, path_rate, score, kept: score >= least) of every row of ``docs``.
+
+    Rows are judged one by one; repeated ids, equal rows, nulls and other columns, whatever their names, do no harm.
+    Without labels everything is kept. An empty table gives an empty result. Texts are read once, and never shuffle.
+    """
+    m = Model(docs, labels, id_col, text, host, path, sample)
+    both = m.rows.join(small(m.rates), F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")), "left")
+    score = _score(F.col("e"), F.col("rates"))
+    return both.select("id", "host", "path", "mark", F.col("e").alias("evidence"), "rates.host_rate", "rates.path_rate", score.alias("score"), (score >= least).alias("kept"))
+
+
+def passed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, in all their columns, whatever the names of these.
 
-    Null hosts and paths are groups of their own. Rows are judged one by one; repeated ids, equal rows and other
-    columns do no harm (names with a leading underscore are taken to be free). Without labels all rests on the
-    priors and everything is kept. An empty table gives an empty result.
+    With a counted, broadcast table of rates texts are read a second time and never shuffle. With more paths than may be
+    broadcast, the ids of rejected rows go out by an anti join, which shuffles by a hash of the row.
     """
-    scratch = Scratch(docs.sparkSession, "bayes")
-    model = fit(docs, labels, id_col, text, sample)
-    slim = with_features(docs.select(F.col(text).alias("_t"), F.col(host).alias("_host"), F.col(path).alias("_path")), "_t").select("_host", "_path", evidence(F.col("_f"), model).alias("e"))
-    soft = 1 / (1 + F.exp(-F.col("e")))
-    # exact sums, whatever the order of rows
-    paths = scratch.table(slim.groupBy("_host", "_path").agg(F.count("*").alias("n"), (F.sum(F.round(soft * 1e6).cast("long")) / 1e6).alias("good")), "paths")
-    whole = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
-    overall = (whole.good + 1.0) / (whole.n + 2.0) if whole.n else 0.5
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("rate", F.lit(overall))
-    k = hosts.agg(_strength("n", "good", "rate")).first()[0] or 1000.0
-    hosts = scratch.table(hosts.select("_host", ((F.col("good") + k * F.col("rate")) / (F.col("n") + k)).alias("host_rate")), "hosts")
-    both = paths.join(hosts.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
-    k = both.agg(_strength("n", "good", "host_rate")).first()[0] or 1000.0
-    rates = scratch.table(both.select("_host", "_path", "host_rate", ((F.col("good") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate")), "rates")
-    rates = rates.select("_host", "_path", F.struct("host_rate", "path_rate").alias("_rates"))
-    out = with_features(docs, text).join(small(rates), F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")), "left")
-    own, at = evidence(F.col("_f"), model), F.col("_rates.path_rate")
-    score = 1 / (1 + F.exp(-(own + F.log(at / (1 - at)))))
-    b = F.struct(own.alias("evidence"), F.col("_rates.host_rate").alias("host_rate"), at.alias("path_rate"), score.alias("score"), (score >= least).alias("kept"))
-    return out.select(*docs.columns, b.alias("_b"))
+    m = Model(docs, labels, id_col, text, host, path, sample)
+    f, of_host, of_path, rates = free(docs.columns, "f", "of_host", "of_path", "rates")
+    if m.rates.count() > BROADCAST_ROWS:
+        met = m.rows.join(m.rates, F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")))
+        out = met.where(_score(F.col("e"), F.col("rates")) < least).select("id", "mark").distinct()
+        return without(docs, m.scratch.table(out, "rejected"), id_col, F.xxhash64(text, host, path))
+    known = F.broadcast(m.rates.withColumnsRenamed({"of_host": of_host, "of_path": of_path, "rates": rates}))
+    both = with_features(docs, text, f).join(known, F.col(host).eqNullSafe(F.col(of_host)) & F.col(path).eqNullSafe(F.col(of_path)), "left")
+    return both.where(_score(evidence(F.col(f), m.own), F.col(rates)) >= least).select(*docs.columns)

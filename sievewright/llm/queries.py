@@ -114,4 +114,4 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_hierarchical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bayes.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return out.select("doc_id", "source", "lang", "_b.*")
+    return out.select(F.col("id").alias("doc_id"), F.col("host").alias("source"), F.col("path").alias("lang"), "evidence", "host_rate", "path_rate", "score", "kept")

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from util import documents, words
 
 NAMES = ["quality_rules", "quality_classifier", "ngram_jaccard_join", "mix_sources", "best_fit_packing"]
@@ -60,3 +61,27 @@ def test_stages(spark, folder):
 
 def test_run_gives_the_stages_rows(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() == spark.read.parquet(f"{folder}/best_fit_packing").count()
+
+
+def test_empty_repeated_and_clashing_tables(spark, folder, tmp_path):
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    whole = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 150 or doc_id >= 2000")
+    odd = {c: F.lit(1) for c in ("id", "mark", "_id", "_mark", "_tie", "_runs", "_q", "_f", "limits", "rates", "tie", "n", "length", "source_", "stays")}
+    tables = {"empty": whole.limit(0), "twice": whole.unionByName(whole), "nulls": whole.limit(3).select(*(F.lit(None).cast(t).alias(c) for c, t in whole.dtypes)), "odd": whole.withColumns(odd)}
+    for name, docs in tables.items():
+        d = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{d}/documents.parquet")
+        labels.write.parquet(f"{d}/labels.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        ids = []
+        for k, (step, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, d)
+            assert k == len(NAMES) - 1 or out.columns == docs.columns
+            out.write.parquet(f"{d}/{step}")
+            docs = spark.read.parquet(f"{d}/{step}")
+            ids.append({r.doc_id for r in docs.select("doc_id").collect()})
+        if name in ("empty", "nulls"):
+            assert ids[-1] == set()
+        else:
+            assert ids[2] == {i for i in range(150) if i % 10}
+            assert spark.read.parquet(f"{d}/ngram_jaccard_join").count() == len(ids[2])
