@@ -12,11 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import Scratch, small_batches
 
 LENGTH = 1024
-OPEN_BINS = 1 << 15
-PER_TASK = 50_000  # pieces packed together; bins left open at the end of a task are the only loss of splitting
+OPEN_BINS = 256  # so many binds (unbounded, some thousand would be open) and costs no sequences, as the closed ones are all but full
+PER_TASK = 50_000  # pieces of one stream; bins left open at its end are the only loss of splitting
 END = 2
 
 #: Texts of these characters only take the fast coder: all library versions agree on their letter, digit and space classes.
@@ -138,20 +138,21 @@ def best_fit(sizes: np.ndarray, capacity: int = LENGTH, open_bins: int = OPEN_BI
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, open_bins: int = OPEN_BINS, per_task: int = PER_TASK, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document.
 
-    Pieces are dealt into groups of about ``per_task`` by a hash of id, piece and content, and packed group by
-    group, longer pieces first, so that short ones fill what is left. Full pieces are sequences of their own.
-    A null or empty text is the end token alone. Equal rows are packed as separate documents. An empty table
-    gives an empty result; other columns are ignored.
+    Pieces are written, counted and dealt by a hash into streams of about ``per_task``. A stream is packed online: its
+    pieces come in order of id (null last) and piece, are placed once, and never see a later one. A null or empty text
+    is the end token alone. Equal rows are packed as separate documents, whatever their number. An empty table gives
+    an empty result; other columns are ignored.
     """
-    cut = pieces(docs, path, id_col, text, length, end)
-    groups = max(1, round(1.6 * docs.count() / per_task))
-    dealt = cut.withColumn("grp", F.expr(f"cast(pmod(xxhash64(doc_id, piece, ids_crc32), {groups}) as int)"))
+    scratch = Scratch(docs.sparkSession, "packing")
+    cut = scratch.table(pieces(docs, path, id_col, text, length, end), "pieces")
+    streams = max(1, round(cut.count() / per_task))
+    # the number of a row in the written table parts rows that are equal in all else
+    dealt = cut.withColumn("row", F.monotonically_increasing_id()).withColumn("grp", F.expr(f"cast(pmod(xxhash64(doc_id, piece, ids_crc32, row), {streams}) as int)")).drop("row")
     kind = dealt.schema["doc_id"].dataType.simpleString()
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         at = table.column_names.index
-        order = pc.sort_indices(table, [("length", "descending"), ("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        table = table.take(order)
+        table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]))
         where, offset = best_fit(table.column(at("length")).to_numpy(), length, open_bins)
         table = table.drop_columns(["grp"])
         return table.append_column("sequence_id", pa.array((np.int64(key[0].as_py()) << np.int64(32)) + where)).append_column("offset", pa.array(offset))
