@@ -95,14 +95,15 @@ ORACLES["op6_perspective_rotation"] = r"""
 WITH t AS (SELECT DISTINCT conv_id, turn::BIGINT AS turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said FROM conversations),
 p AS (SELECT DISTINCT conv_id, who AS speaker FROM t WHERE who <> 'system'),
 s AS (
-  SELECT conv_id, speaker, turn, who, said, floor(turn / 512)::BIGINT AS part, who = speaker AS own,
-    CASE WHEN who = speaker THEN '<|im_start|>assistant' WHEN who = 'system' THEN '<|im_start|>system' ELSE '<|im_start|>user name=' || who END || chr(10) AS head,
+  SELECT conv_id, speaker, turn, who, said, who = speaker AS own,
+    CASE WHEN who = speaker THEN '<|im_start|>assistant' WHEN who = 'system' THEN '<|im_start|>system'
+      ELSE '<|im_start|>user name=' || replace(translate(who, chr(10) || chr(13), '  '), '<|', '< |') END || chr(10) AS head,
     replace(said, '<|', '< |') || '<|im_end|>' || chr(10) AS body
   FROM t JOIN p USING (conv_id)),
-o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn, who, said) - length(body) AS pos FROM s)
-SELECT conv_id, part::VARCHAR AS part, speaker, count(*)::INT AS n_turns, string_agg(head || body, '' ORDER BY turn, who, said) AS rendered,
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker ORDER BY turn, who, said) - length(body) AS pos FROM s)
+SELECT conv_id, 0::BIGINT AS part, 0::BIGINT AS start, speaker, count(*)::INT AS n_turns, string_agg(head || body, '' ORDER BY turn, who, said) AS rendered,
   coalesce(string_agg(CASE WHEN own THEN pos::BIGINT || ':' || length(body) END, ',' ORDER BY turn, who, said), '') AS mask
-FROM o GROUP BY conv_id, part, speaker
+FROM o GROUP BY conv_id, speaker
 """
 
 
