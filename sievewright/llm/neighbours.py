@@ -6,6 +6,9 @@ deals all rows into leaves; a leaf's own subtree is built where the leaf is sear
 first, whose k-th best distance bounds the leaves it needs to see at all; in each leaf, blocks are taken in order
 of their projected distance and verified with the original vectors, until the chi-square test says that a nearer
 point further out in the projection is unlikely: P(chi2_DIMS <= (r / d_k)^2) >= SURE.
+
+Matrix products only screen rows: what may be among the best is scored again as a sum in the order of components, so
+that a score depends on its two vectors alone and equal vectors tie exactly.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ SURE = 0.97
 SAMPLE = 20_000  # rows that the upper tree is fitted on
 LEAF_ROWS, MOST_LEAVES = 4096, 4096  # rows that a leaf is meant to hold; leaves of the upper tree at most (it is broadcast)
 UNIT_ROWS = 8192  # rows of a leaf searched by one task; a larger leaf (equal vectors) is dealt out
-UNIT_QUERIES = 4096
+UNIT_QUERIES = 4096  # queries that one task asks of a unit
+UNIT_NUMBERS = 1 << 22  # components that one task holds: longer vectors, smaller units
 BLOCK = 128
 
 
@@ -85,53 +89,79 @@ def descend(nodes: list, points: np.ndarray) -> np.ndarray:
 
 
 class Projection:
-    """Lifts and projects vectors of ``dim`` components whose largest norm is ``radius``."""
+    """Lifts and projects vectors, multiplied by ``scale``, of ``dim`` components whose largest norm is then ``radius``.
+
+    ``scale`` is a power of two that brings the largest component below one, so that no square overflows.
+    """
 
-    def __init__(self, dim: int, radius: float, seed: int = 7):
-        self.dim, self.radius = dim, radius
+    def __init__(self, dim: int, scale: float, radius: float, seed: int = 7):
+        self.dim, self.scale, self.radius = dim, scale, radius
         self.matrix = np.random.default_rng(seed).standard_normal((dim + 1, DIMS))
 
     def rows(self, x: np.ndarray) -> np.ndarray:
+        x = x * self.scale
         last = np.sqrt(np.maximum(self.radius**2 - (x * x).sum(1), 0.0))
         return x @ self.matrix[:-1] + last[:, None] * self.matrix[-1]
 
-    def queries(self, x: np.ndarray) -> np.ndarray:
-        return (x * (self.radius / np.sqrt((x * x).sum(1)))[:, None]) @ self.matrix[:-1]
+    def units(self, x: np.ndarray) -> np.ndarray:
+        """Vectors of length one."""
+        x = x / np.abs(x).max(1, keepdims=True)
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+    def queries(self, units: np.ndarray) -> np.ndarray:
+        return (units * self.radius) @ self.matrix[:-1]
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
+    """Rows of ``dim`` numbers; shorter lists are filled up with zeros."""
+    flat = np.asarray(column.flatten(), np.float64)
+    sizes = np.asarray(column.value_lengths())
+    if (sizes == dim).all():
+        return flat.reshape(-1, dim)
+    out = np.zeros((len(sizes), dim))
+    out[np.arange(dim) < sizes[:, None]] = flat
+    return out
+
 
+def scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products, added up component by component: the same for a vector wherever it stands."""
+    return np.cumsum(vectors * query, axis=1)[:, -1]
 
-def _search(ids, vectors, low, q_ids, queries, q_low, bound, k, radius, limit):
+
+def _search(ids, vectors, low, q_ids, queries, units, q_low, bound, k, project, limit):
     """Best k of one unit for each query: (query index, id, score) arrays. ``bound``: squared distance known for the k-th."""
     _, block_of = kd_split(low, BLOCK)
     order = np.argsort(block_of, kind="stable")
     ids, vectors, low, block_of = ids[order], vectors[order], low[order], block_of[order]
+    scaled, radius = vectors * project.scale, project.radius
     edges = np.flatnonzero(np.diff(block_of, prepend=-1, append=len(block_of) + 1))
     lows = np.array([low[a:b].min(0) for a, b in zip(edges, edges[1:], strict=False)])
     highs = np.array([low[a:b].max(0) for a, b in zip(edges, edges[1:], strict=False)])
+    slack = 8 * vectors.shape[1] * np.finfo(float).eps * radius  # more than rounding can move a product of the screen
     out_q, out_id, out_s = [], [], []
     for j in range(len(q_ids)):
         gap = np.maximum(0, np.maximum(lows - q_low[j], q_low[j] - highs))
         gap = (gap * gap).sum(1)
-        q, scale = queries[j], 2 * radius / np.sqrt((queries[j] ** 2).sum())
-        near = bound[j]
-        best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
+        near, least = bound[j], -np.inf
+        best_s, best_i, best_u = np.zeros(0), np.zeros(0, np.int64), np.zeros(0)
         for b in np.argsort(gap, kind="stable"):
             if gap[b] >= limit * near:
                 break
             cut = slice(edges[b], edges[b + 1])
-            score = vectors[cut] @ q
-            mine = ids[cut] != q_ids[j]
-            best_s, best_i = np.concatenate((best_s, score[mine])), np.concatenate((best_i, ids[cut][mine]))
+            seen = scaled[cut] @ units[j]
+            hit = np.flatnonzero((seen >= least - slack) & (ids[cut] != q_ids[j]))
+            if not len(hit):
+                continue
+            exact = scores(vectors[cut][hit], queries[j])
+            best_s, best_i, best_u = np.concatenate((best_s, exact)), np.concatenate((best_i, ids[cut][hit])), np.concatenate((best_u, seen[hit]))
             if len(best_s) > k:
                 keep = np.lexsort((best_i, -best_s))[:k]
-                best_s, best_i = best_s[keep], best_i[keep]
+                best_s, best_i, best_u = best_s[keep], best_i[keep], best_u[keep]
             if len(best_s) >= k:
-                near = min(near, max(2 * radius**2 - scale * best_s.min(), 0.0))
+                least = best_u.min()
+                near = min(near, max(2 * radius**2 - 2 * radius * least, 0.0))
         keep = np.lexsort((best_i, -best_s))[:k]
-        out_q.append(np.full(len(keep), q_ids[j]))
+        out_q.append(np.full(len(keep), j))
         out_id.append(best_i[keep])
         out_s.append(best_s[keep])
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
@@ -141,24 +171,31 @@ def _search(ids, vectors, low, q_ids, queries, q_low, bound, k, radius, limit):
 def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", sure: float = SURE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, of all rows but those with its id.
 
-    ``is_query`` is a SQL condition on ``vec_id``. Vectors that are null, all zero, hold a null or a non-finite
-    component, or differ in length from most others, and rows with a null id, take no part. Rows equal in id and
-    vector count once. Ties go to the smaller id. Other columns are ignored; an empty table gives an empty result.
+    ``is_query`` is a SQL condition on ``vec_id``. Vectors that are null, all zero, or hold a null or a non-finite
+    component, and rows with a null id, take no part; all others do, repeated rows too. Where lengths differ, shorter
+    vectors count as filled up with zeros. Queries equal in id and vector are answered once. Ties go to the smaller
+    id. Other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "nearest")
     fine = "forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null and v is not null").where(fine).dropDuplicates()
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    stats = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max("norm").alias("radius")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not stats:
-        return empty
-    dim, n, radius = stats[0]
-    project = Projection(dim, radius)
-    rows = rows.where(F.size("v") == dim).select("vec_id", "v")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "v").limit(SAMPLE).collect()
-    low = project.rows(np.array([r.v for r in sample], np.float64))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null and v is not null").where(fine)
+    n, dim, top = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    scale = 2.0 ** -min(max(math.frexp(top)[1], -1022), 1022)
+    radius = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x * scale) * (x * scale))))).first()[0]
+    project = Projection(dim, scale, radius)
+    unit_rows = min(UNIT_ROWS, max(BLOCK, UNIT_NUMBERS // dim))
+    unit_queries = min(UNIT_QUERIES, max(BLOCK, UNIT_NUMBERS // dim))
+
+    def projected(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(list(project.rows(_matrix(batch.column(0), dim))), pa.list_(pa.float64()))], ["y"])
+
+    # DIMS numbers of each sampled row
+    sample = rows.orderBy(F.xxhash64("vec_id"), F.xxhash64("v")).limit(SAMPLE).select("v").mapInArrow(projected, "y array<double>").collect()
+    low = np.array(sorted(tuple(r.y) for r in sample), np.float64)
     leaves = min(MOST_LEAVES, -(-n // LEAF_ROWS))
     tree, _ = kd_split(low, max(1, -(-len(low) // leaves)))
     shared = spark.sparkContext.broadcast((tree, project))  # at most 2 * MOST_LEAVES nodes
@@ -166,8 +203,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_i
     def place(batches):
         nodes, p = shared.value
         for batch in batches:
-            x = _matrix(batch.column(1), dim)
-            y = p.rows(x)
+            y = p.rows(_matrix(batch.column(1), dim))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(y), pa.list_(pa.float64())), pa.array(descend(nodes, y))], ["vec_id", "v", "y", "leaf"])
 
     data = scratch.table(rows.mapInArrow(place, "vec_id long, v array<double>, y array<double>, leaf long"), "rows")
@@ -176,60 +212,70 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_i
     leaf_ids = np.array([b.leaf for b in boxes])
     los = np.array([[b[f"lo{i}"] for i in range(DIMS)] for b in boxes])
     his = np.array([[b[f"hi{i}"] for i in range(DIMS)] for b in boxes])
-    units = {b.leaf: -(-b.n // UNIT_ROWS) for b in boxes}
-    unit_table = F.broadcast(spark.createDataFrame([(int(a), int(b)) for a, b in units.items()], "leaf long, units int"))  # MOST_LEAVES rows
-    data = data.join(unit_table, "leaf").withColumn("unit", F.expr("cast(pmod(xxhash64(vec_id), units) as int)"))
-
-    asked = data.where(F.expr(is_query)).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("leaf").alias("home"))
-    chunks = max(1, -(-asked.count() // UNIT_QUERIES))
-    asked = asked.withColumn("chunk", F.expr(f"cast(pmod(xxhash64(query_id), {chunks}) as int)"))
-    each = data.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select("leaf", "unit", "chunk", "vec_id", "v", "y")
+    unit_table = F.broadcast(spark.createDataFrame([(int(b.leaf), -(-b.n // unit_rows)) for b in boxes], "leaf long, units int"))  # MOST_LEAVES rows
+    data = data.withColumn("row", F.monotonically_increasing_id()).join(unit_table, "leaf").withColumn("unit", F.expr("cast(pmod(xxhash64(row), units) as int)"))
+
+    # a query is one id with one vector
+    asked = data.where(F.expr(is_query)).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("leaf").alias("home")).distinct()
+    asked = scratch.table(asked.withColumn("query", F.xxhash64("query_id", "q")), "asked")
     limit = chi_square_bound(sure, DIMS)
-    kind = "query_id long, vec_id long, score double"
+    kind = "query_id long, query long, vec_id long, score double"
 
     def search(pairs: DataFrame) -> DataFrame:
+        """``pairs(query_id, query, q, leaf, bound)``: each query in each unit of its leaf. The queries of a leaf go in
+        chunks, and a unit's rows are copied once for each chunk of its own leaf."""
+        counts = pairs.groupBy("leaf").agg(F.ceil(F.count("*") / unit_queries).cast("int").alias("chunks"))  # MOST_LEAVES rows
+        counts = F.broadcast(scratch.table(counts, "chunks"))
+        left = data.join(counts, "leaf").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).select("leaf", "unit", "chunk", "vec_id", "v", "y")
+        right = pairs.join(counts, "leaf").withColumn("chunk", F.expr("cast(pmod(query, chunks) as int)"))
+        right = right.join(unit_table, "leaf").withColumn("unit", F.explode(F.expr("sequence(0, units - 1)"))).select("leaf", "unit", "chunk", "query_id", "query", "q", "bound")
+
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows or not right.num_rows:
-                found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                who, found = np.zeros(0, np.int64), (None, np.zeros(0, np.int64), np.zeros(0))
             else:
                 _, p = shared.value
                 x, q = _matrix(left["v"].combine_chunks(), dim), _matrix(right["q"].combine_chunks(), dim)
                 y = _matrix(left["y"].combine_chunks(), DIMS)
-                found = _search(left["vec_id"].to_numpy(), x, y, right["query_id"].to_numpy(), q, p.queries(q), right["bound"].to_numpy(), k, radius, limit)
-            return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
+                u = p.units(q)
+                found = _search(left["vec_id"].to_numpy(), x, y, right["query_id"].to_numpy(), q, u, p.queries(u), right["bound"].to_numpy(), k, p, limit)
+                who = found[0]
+            return pa.table({"query_id": right["query_id"].to_numpy()[who], "query": right["query"].to_numpy()[who], "vec_id": found[1], "score": found[2]})
 
         keys = ["leaf", "unit", "chunk"]
-        return each.groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInArrow(run, kind)
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, kind)
 
     def best(found: DataFrame) -> DataFrame:
-        w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        w = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    at_home = asked.join(unit_table.withColumnRenamed("leaf", "home"), "home").withColumn("unit", F.explode(F.expr("sequence(0, units - 1)")))
-    first = scratch.table(search(at_home.select("query_id", "q", F.col("home").alias("leaf"), "unit", "chunk", F.lit(float("inf")).alias("bound"))), "home")
-    bounds = scratch.table(best(first).groupBy("query_id").agg(F.max("rank").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select(F.col("query_id").alias("_q"), "least"), "bounds")
-    known = asked.join(small(bounds), F.col("query_id") == F.col("_q"), "left")
+    first = scratch.table(search(asked.select("query_id", "query", "q", F.col("home").alias("leaf"), F.lit(float("inf")).alias("bound"))), "home")
+    bounds = best(first).groupBy("query_id", "query").agg(F.max("rank").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
+    bounds = scratch.table(bounds.select(F.col("query_id").alias("_i"), F.col("query").alias("_q"), "least"), "bounds")
+    known = asked.join(small(bounds), (F.col("query_id") == F.col("_i")) & (F.col("query") == F.col("_q")), "left")
 
     def spread(batches):
         _, p = shared.value
         for batch in batches:
-            q = _matrix(batch.column(1), dim)
+            q = _matrix(batch.column(2), dim)
             least = batch.column(4).to_numpy(zero_copy_only=False)
-            near = np.maximum(2 * radius**2 - 2 * radius / np.sqrt((q * q).sum(1)) * least, 0.0)
-            near = np.where(np.isnan(near), np.inf, near)
-            y, home = p.queries(q), batch.column(2).to_numpy()
-            who, leaf = [], []
+            units = p.units(q)
+            length = np.abs(q).max(1) * np.sqrt(((q / np.abs(q).max(1, keepdims=True)) ** 2).sum(1))
+            with np.errstate(all="ignore"):
+                near = np.maximum(2 * p.radius**2 - 2 * p.radius * (least / length * p.scale), 0.0)
+            near = np.where(np.isfinite(near), near, np.inf)
+            y, home = p.queries(units), batch.column(3).to_numpy()
             for j in range(len(q)):
                 gap = np.maximum(0, np.maximum(los - y[j], y[j] - his))
                 hit = leaf_ids[((gap * gap).sum(1) < limit * near[j]) & (leaf_ids != home[j])]
-                who.append(np.full(len(hit), j))
-                leaf.append(hit)
-            who, leaf = np.concatenate(who) if who else np.zeros(0, np.int64), np.concatenate(leaf) if leaf else np.zeros(0, np.int64)
-            for a in range(0, len(who), 4096):
-                w = pa.array(who[a : a + 4096])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(w), batch.column(1).take(w), pa.array(leaf[a : a + 4096]), batch.column(3).take(w), pa.array(near[who[a : a + 4096]])], ["query_id", "q", "leaf", "chunk", "bound"])
-
-    away = known.select("query_id", "q", "home", "chunk", "least").mapInArrow(spread, "query_id long, q array<double>, leaf long, chunk int, bound double")
-    away = away.join(unit_table, "leaf").withColumn("unit", F.explode(F.expr("sequence(0, units - 1)"))).drop("units")
-    rest = search(away.select("query_id", "q", "leaf", "unit", "chunk", "bound"))
+                for a in range(0, len(hit), 1024):
+                    to = pa.array(hit[a : a + 1024])
+                    w = pa.array(np.full(len(to), j))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(w), batch.column(1).take(w), to, pa.array(np.full(len(to), near[j]))], ["query_id", "query", "leaf", "bound"])
+
+    # which leaves each query goes on to, without its vector; the vector follows by a join on the query
+    away = known.select("query_id", "query", "q", "home", "least").mapInArrow(spread, "query_id long, query long, leaf long, bound double")
+    away = scratch.table(away, "away")
+    met = away.join(asked.select(F.col("query_id").alias("_i"), F.col("query").alias("_q"), "q"), (F.col("query_id") == F.col("_i")) & (F.col("query") == F.col("_q")))
+    rest = search(met.select("query_id", "query", "q", "leaf", "bound"))
     return best(first.union(rest)).select("query_id", "rank", "vec_id", "score")
