@@ -16,6 +16,7 @@ from .common import Scratch, small
 
 BITS = 60
 LIMIT = 1 << 20
+LEVELS = 4  # levels of the tree that one step sums up
 SLACK, DEEPER = 3, 6  # bits beyond the average depth in the first round, and bits more in each further one
 
 
@@ -24,17 +25,32 @@ def hash60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _sizes(cells: DataFrame, first: int, last: int, scratch: Scratch) -> DataFrame:
+    """(root, depth, prefix, bytes, rows) of the buckets of depths ``first`` to ``last``, from ``cells(root, prefix, bytes, rows)``
+    of the last. Each step sums up a few levels and hands only its uppermost on, so all steps make a small multiple of the cells."""
+    out, at = None, last
+    while True:
+        up = max(first, at - LEVELS + 1)
+        each = cells.withColumn("depth", F.explode(F.sequence(F.lit(up), F.lit(at)))).withColumn("prefix", F.expr(f"shiftright(prefix, {at} - depth)"))
+        step = scratch.table(each.groupBy("root", "depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")), "sizes")
+        out = step if out is None else out.unionByName(step)
+        if up == first:
+            return out
+        cells, at = step.where(F.col("depth") == up).select("root", F.shiftright("prefix", 1).alias("prefix"), "bytes", "rows"), up - 1
+
+
 def _leaves(rows: DataFrame, limit: int, first: int, last: int, scratch: Scratch) -> DataFrame:
     """(root, cell, depth, prefix, shard_bytes, shard_rows) of the cells of ``last`` bits that lie in a bucket which fits,
-    of depth ``first`` to ``last``. ``rows(root, h, n_bytes)``."""
-    cells = scratch.table(rows.groupBy("root", F.shiftright("h", BITS - last).alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("rows")), "cells")
-    each = cells.withColumn("depth", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("prefix", F.expr(f"shiftright(cell, {last} - depth)"))
-    sizes = each.groupBy("root", "depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"))
-    fit = scratch.table(sizes.where(F.col("shard_bytes") <= limit), "fit")
-    # of the buckets on a cell's way down, the first that fits
-    met = each.select("root", "cell", "depth", "prefix").join(fit, ["root", "depth", "prefix"])
-    least = met.groupBy("root", "cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_rows")).alias("s"))
-    return scratch.table(least.select("root", "cell", "s.*"), "leaves")
+    of depth ``first`` to ``last``. ``rows(root, h, n_bytes)``.
+
+    A bucket of the directory is one that fits while the one that it was split from does not."""
+    cells = scratch.table(rows.groupBy("root", F.shiftright("h", BITS - last).alias("prefix")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("rows")), "cells")
+    sizes = _sizes(cells, first, last, scratch)
+    over = scratch.table(sizes.where(F.col("bytes") > limit).select("root", (F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent")), "split")
+    fit = sizes.where(F.col("bytes") <= limit).withColumn("parent", F.shiftright("prefix", 1))
+    leaves = fit.where(F.col("depth") == first).unionByName(fit.where(F.col("depth") > first).join(small(over), ["root", "depth", "parent"], "left_semi"))
+    spread = F.expr(f"sequence(shiftleft(prefix, {last} - depth), shiftleft(prefix + 1, {last} - depth) - 1)")
+    return scratch.table(leaves.select("root", F.explode(spread).alias("cell"), "depth", "prefix", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows")), "leaves")
 
 
 def _split(rows: DataFrame, limit: int, start: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
