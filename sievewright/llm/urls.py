@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Scratch, small
+from .common import BROADCAST_ROWS, Scratch, small
 
 ORDER = 5
 FOLDS = 5
 STEP = 0.005  # resolution of the threshold; scores are clipped to +-BOUND for it, so at most 2 * BOUND / STEP rows
 BOUND = 10.0
+PARTS = 10**12  # log ratios are added up as whole numbers of so many parts of one: sums don't rest on their order
 START, END = "\x01", "\x02"
 
 RULES = (("org/", True), ("example.org/es/", False), ("example.org/en/1", False), ("com/fr/", True), ("com/de/", False))
@@ -52,10 +53,11 @@ def grams(url: Column) -> Column:
 
 
 def model(urls: DataFrame, scratch: Scratch) -> DataFrame:
-    """(gram, ratio) of every gram of ``urls(url, label, n)``; label is true, false or null (not learned from)."""
+    """(gram, uses, ratio) of every gram of ``urls(url, label, n)``; label is true, false or null (not learned from).
+    uses counts its windows in all of them, ratio is in PARTS."""
     each = urls.select(F.explode(grams(F.col("url"))).alias("gram"), "label", "n")
     one = lambda y: F.sum(F.when(F.col("label") == F.lit(y), F.col("n")).otherwise(0))
-    top = scratch.table(each.groupBy("gram").agg(one(True).alias("a"), one(False).alias("r")), "grams")
+    top = scratch.table(each.groupBy("gram").agg(F.count("*").alias("uses"), one(True).alias("a"), one(False).alias("r")), "grams")
     known = None
     for k in range(1, ORDER + 1):
         g = F.substring("gram", ORDER - k + 1, k)
@@ -72,13 +74,32 @@ def model(urls: DataFrame, scratch: Scratch) -> DataFrame:
             level = level.withColumn(f"p{c}", F.when(F.col(f"n{c}") > 0, blend).otherwise(F.col(f"p{c}")))
         if k < ORDER:
             known = scratch.table(level.select(F.col("gram").alias("low"), "pa", "pr"), f"level{k}")
-    return scratch.table(level.select("gram", (F.log("pa") - F.log("pr")).alias("ratio")), "model")
+    return scratch.table(level.select("gram", "uses", F.round((F.log("pa") - F.log("pr")) * PARTS).cast("long").alias("ratio")), "model")
+
+
+def summed(urls: DataFrame, ratios: DataFrame, scratch: Scratch) -> DataFrame:
+    """(url, score): the mean log ratio of the grams of each of ``urls(url)``.
+
+    The grams used most, a bounded number, are broadcast, and with them every hot key. What they leave is counted for
+    each URL and gram before it meets the rest of the model by a shuffle.
+    """
+    few = ratios.count() <= BROADCAST_ROWS
+    most = ratios if few else scratch.table(ratios.orderBy(F.desc("uses"), "gram").limit(BROADCAST_ROWS), "most")
+    each = urls.select("url", F.explode(grams(F.col("url"))).alias("gram")).join(F.broadcast(most.select("gram", "ratio")), "gram", "left")
+    if few:
+        sums = each.groupBy("url").agg(F.sum("ratio").alias("s"), F.count("*").alias("k"))
+    else:
+        known = each.where("ratio is not null").groupBy("url").agg(F.sum("ratio").alias("s"), F.count("*").alias("k"))
+        rest = each.where("ratio is null").groupBy("url", "gram").agg(F.count("*").alias("k"))
+        rest = rest.join(ratios.select("gram", "ratio"), "gram").select("url", (F.col("ratio") * F.col("k")).alias("s"), "k")
+        sums = known.unionByName(rest).groupBy("url").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
+    return sums.select("url", (F.col("s") / F.col("k") / PARTS).alias("score"))
 
 
 def judged(pages: DataFrame, id_col: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row of ``pages``.
 
-    The score is null where a rule decides. A URL that is null or has no ``://`` is the empty string to the models.
+    The models read host and path, never what follows ``?`` or ``#``. The score is null where a rule decides. A URL that is null or has no ``://`` is the empty string to the models.
     With no accepted or no rejected URL to learn from, the models allow. Equal rows get equal answers; an empty
     table gives an empty result; other columns are ignored.
     """
@@ -90,8 +111,9 @@ def judged(pages: DataFrame, id_col: str = "page_id", url: str = "url", rules=RU
     urls = scratch.table(rows.groupBy("url").agg(F.max("by_rule").alias("by_rule"), F.count("*").alias("n")).withColumn("apart", F.expr(f"crc32(url) % {FOLDS} = 0")), "urls")
     label = F.when(~F.col("apart"), F.col("by_rule") == "allow")
     ratios = model(urls.select("url", label.alias("label"), "n"), scratch)
-    scored = urls.where("by_rule is null or apart").select("url", "by_rule", "n", F.explode(grams(F.col("url"))).alias("gram")).join(small(ratios), "gram")
-    scores = scratch.table(scored.groupBy("url").agg(F.any_value("by_rule").alias("by_rule"), F.any_value("n").alias("n"), F.avg("ratio").alias("score")), "scores")
+    asked = urls.where("by_rule is null or apart")
+    found = summed(asked.select("url"), ratios, scratch).select(F.col("url").alias("_url"), "score")
+    scores = scratch.table(asked.join(found, F.col("url") == F.col("_url")).select("url", "by_rule", "n", "score"), "scores")
     bins = scores.where("by_rule is not null").groupBy(F.floor(F.least(F.greatest("score", F.lit(-BOUND)), F.lit(BOUND)) / STEP).alias("bin"))
     bins = bins.agg(F.sum(F.when(F.col("by_rule") == "allow", F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("by_rule") == "block", F.col("n")).otherwise(0)).alias("r"))
     down, whole = W.orderBy(F.desc("bin")), W.partitionBy()
