@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, Scratch, small
+from .common import BROADCAST_ROWS, WORD, Scratch, free, small
 from .textkernel import mix64, words
 
 BLOCK = 256
@@ -25,6 +25,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_REPEATS = 2
 SOURCES = 1_000_000  # the table of sources is the one thing that the driver holds; more of them are refused
+SPAN = 4096  # numbers that one task of a running sum goes through, and then so many sums
 PER_BUCKET = 1024  # documents whose places in their source one task counts through
 
 
@@ -94,6 +95,17 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("tie"))
 
 
+def summed_before(rows: DataFrame, by: str, order: str, value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows of the same ``by`` and a smaller ``order`` (a whole number, once for each
+    ``by``). Sums of spans are added up first, then those within a span, so no task sorts a whole group."""
+    span = rows.withColumn("span", F.floor(F.col(order) / SPAN))
+    spans = span.groupBy(by, "span").agg(F.sum(value).alias("in_span"))
+    spans = spans.withColumn("earlier", F.sum("in_span").over(W.partitionBy(by).orderBy("span")) - F.col("in_span"))
+    here = W.partitionBy(by, "span").orderBy(order)
+    local = span.withColumn(name, F.sum(value).over(here) - F.col(value))
+    return local.join(spans.select(by, "span", "earlier"), [by, "span"]).withColumn(name, F.col(name) + F.col("earlier")).drop("span", "earlier")
+
+
 class Mix:
     """The mix of ``docs``: its sources, slots and what it takes of each document.
 
@@ -114,16 +126,20 @@ class Mix:
         self.plan = plan(frame, block, seed, share, most, weights)
         columns = ["sid", "source", "size", "target", "blocks", "tail", "full", "slots", "last_words"]
         kinds = "sid long, source string, source_size long, target double, blocks long, tail long, full long, slots long, last_words long"
-        self.sources = F.broadcast(self.spark.createDataFrame([tuple(None if x is None else getattr(x, "item", lambda x=x: x)() for x in r) for r in self.plan[columns].itertuples(index=False, name=None)], kinds))  # SOURCES rows at most
+        self.sources = self.spark.createDataFrame([tuple(None if x is None else getattr(x, "item", lambda x=x: x)() for x in r) for r in self.plan[columns].itertuples(index=False, name=None)], kinds)
+        if len(listed) <= BROADCAST_ROWS:
+            self.sources = F.broadcast(self.sources)
         buckets = max(1, n // PER_BUCKET)
         placed = self.rows.join(self.sources.select("sid", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
-        placed = placed.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, {seed}), {buckets})"))
-        base = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("in_bucket"))
-        base = base.withColumn("base", F.sum("in_bucket").over(W.partitionBy("sid").orderBy("bucket")) - F.col("in_bucket"))
-        here = W.partitionBy("sid", "bucket").orderBy("doc_id", "tie")
-        running = placed.withColumn("start", F.sum("size").over(here.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+        placed = placed.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, tie, {seed}), {buckets})"))
+        # equal rows are one row and a number of copies until they have their places
+        placed = placed.groupBy("sid", "bucket", "doc_id", "tie", "size").agg(F.count("*").alias("copies")).withColumn("words", F.col("size") * F.col("copies"))
+        base = summed_before(placed.groupBy("sid", "bucket").agg(F.sum("words").alias("words")), "sid", "bucket", "words", "base")
         base = scratch.table(base.select("sid", "bucket", "base"), "base")
-        self.places = scratch.table(running.join(base, ["sid", "bucket"]).select("sid", "doc_id", "tie", "size", (F.col("start") + F.col("base")).alias("start")), "places")
+        here = W.partitionBy("sid", "bucket").orderBy("doc_id", "tie", "size")
+        running = placed.withColumn("start", F.sum("words").over(here.rowsBetween(W.unboundedPreceding, 0)) - F.col("words"))
+        running = running.join(base, ["sid", "bucket"]).withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
+        self.places = scratch.table(running.select("sid", "doc_id", "tie", "size", (F.col("start") + F.col("base") + F.col("copy") * F.col("size")).alias("start")), "places")
 
     def slots(self) -> DataFrame:
         """(shard, sid, slot, block, upto): slot by slot, the block and how many of its words are taken."""
@@ -141,8 +157,7 @@ class Mix:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), shard)), pa.array(sid[hit]), pa.array(of[hit])], ["shard", "sid", "n"])
 
         drawn = self.spark.range(shards).mapInArrow(draw, "shard long, sid long, n long") if total else self.spark.createDataFrame([], "shard long, sid long, n long")
-        upto = F.sum("n").over(W.partitionBy("sid").orderBy("shard"))
-        spans = drawn.withColumn("hi", upto).join(self.sources.select("sid", "slots"), "sid")
+        spans = summed_before(drawn, "sid", "shard", "n", "lo_").withColumn("hi", F.col("lo_") + F.col("n")).join(self.sources.select("sid", "slots"), "sid")
         spans = spans.select("shard", "sid", F.least(F.col("hi") - F.col("n"), "slots").alias("lo"), F.least("hi", "slots").alias("hi"), "slots")
         # what the draws left of a source goes to shards after the drawn ones
         left = self.sources.select("sid", "slots").join(spans.groupBy("sid").agg(F.max("hi").alias("lo")), "sid", "left").withColumn("lo", F.coalesce("lo", F.lit(0))).where("lo < slots")
@@ -189,15 +204,18 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     column, is the number of code points of the row's text.
     """
     m = Mix(docs, id_col, text, source, **settings)
+    i, tie, parts_ = free(docs.columns, "id", "tie", "parts")
     runs = m.taken().groupBy("sid", "start", "doc_id", "tie", "turn").agg(F.array_sort(F.collect_list(F.struct("at", "got"))).alias("parts"))  # blocks of one document
-    runs = runs.groupBy("doc_id", "tie").agg(F.collect_list("parts").alias("_runs"), F.count_distinct("start").alias("_same"))  # passes: a few for each equal row
-    runs = m.scratch.table(runs.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "_runs", "_same"), "runs")
-    same = docs[id_col].eqNullSafe(runs["_id"]) & (F.xxhash64(docs[text]) == runs["_tie"])
-    joined = docs.join(small(runs, 5000), same)  # rows hold lists
-    # equal rows meet one list of all their runs: one of them stands for all
-    if not runs.where("_same > 1").isEmpty():
-        again = joined.where("_same > 1").dropDuplicates([id_col, text])
-        joined = joined.where("_same = 1").unionByName(again)
+    runs = runs.groupBy("doc_id", "tie", "start").agg(F.collect_list("parts").alias("parts"))  # passes: a few
+    runs = m.scratch.table(runs.select(F.col("doc_id").alias(i), F.col("tie").alias(tie), F.col("parts").alias(parts_)), "runs")
+    twice = m.scratch.table(runs.groupBy(i, tie).count().where("count > 1").select(i, tie), "twice")
+    same = lambda t: docs[id_col].eqNullSafe(t[i]) & (F.xxhash64(docs[text]) == t[tie])
+    once = docs
+    if not twice.isEmpty():
+        # of equal rows one meets the runs of all: each of them is a row of its own
+        again = docs.join(small(twice), same(twice), "left_semi").dropDuplicates([id_col, text])
+        once = docs.join(small(twice), same(twice), "left_anti").unionByName(again)
+    joined = once.join(small(runs, 5000), once[id_col].eqNullSafe(runs[i]) & (F.xxhash64(once[text]) == runs[tie]))  # rows hold lists
     names = docs.columns
     at, n_at = names.index(text), names.index(length) if length in names else -1
 
@@ -238,4 +256,4 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
             columns[n_at] = pa.compute.utf8_length(text_).cast(batch.column(n_at).type)
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*(docs[c] for c in names), "_runs").mapInArrow(run, docs.schema)
+    return joined.select(*(once[c] for c in names), parts_).mapInArrow(run, docs.schema)

@@ -84,7 +84,7 @@ def test_slots_by_brute_force(spark):
 def test_mixed_rows_hold_what_is_taken(spark):
     rows = awkward_rows(13, 80)
     rows += [rows[1], rows[1], (7, "again the same id", "en", "s1", 1)]
-    docs = documents(spark, rows).select("*", F.lit(1).alias("size"), F.lit(2).alias("start"))
+    docs = documents(spark, rows).select("*", *(F.lit(1).alias(c) for c in ("size", "start", "_id", "id", "Tie", "parts", "_runs", "_same", "sid")))
     out = mixing.mixed(docs, block=20)
     assert out.columns == docs.columns
     out = out.collect()
@@ -99,6 +99,27 @@ def test_mixed_rows_hold_what_is_taken(spark):
     assert got == {k: v for k, v in taken.items() if v}
 
 
+def test_a_row_repeated_many_times_and_null_ids(spark):
+    rows = [(5, "one two three four five", "en", "s1", 1)] * 900 + [(None, f"text {i} of no id", "en", "s1", 1) for i in range(300)] + [(i, "a b c d e f", "en", "s2", 1) for i in range(300)]
+    m = mixing.Mix(documents(spark, rows), block=20)
+    places = sorted((p.sid, p.start, p["size"]) for p in m.places.collect())
+    assert len(places) == len(rows)
+    for (a, x, n), (b, y, _) in zip(places, places[1:], strict=False):
+        assert y == (x + n if a == b else 0)
+    out = m.totals().collect()
+    assert len(out) == len(rows) and abs(sum(r.taken for r in out) - 1.5 * sum(len(words(r[1])) for r in rows)) <= 2
+    assert sum(len(words(r.text)) for r in mixing.mixed(documents(spark, rows), block=20).collect()) == sum(r.taken for r in out)
+
+
+@pytest.mark.parametrize("span", [1, 3, 4096])
+def test_running_sums_by_spans(spark, monkeypatch, span):
+    monkeypatch.setattr(mixing, "SPAN", span)
+    rng = random.Random(2)
+    rows = [(g, o, rng.randint(0, 9)) for g in range(3) for o in rng.sample(range(400), 60)]
+    got = mixing.summed_before(spark.createDataFrame(rows, "g long, o long, v long"), "g", "o", "v", "before").collect()
+    assert sorted((r.g, r.o, r.before) for r in got) == sorted((g, o, sum(v for h, p, v in rows if h == g and p < o)) for g, o, _ in rows)
+
+
 def test_empty(spark):
     assert mixing.Mix(documents(spark, [])).totals().count() == 0
     assert mixing.mixed(documents(spark, [(1, " ", "en", "s", 1), (2, None, None, None, 0)])).count() == 0
