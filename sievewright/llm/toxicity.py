@@ -8,6 +8,7 @@ toxic rows (each needs several), not because they merely come from one copied te
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections import Counter
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import Scratch, small_batches
 
 #: Look-alike letters of other scripts and the Latin letters that they stand for.
 LOOKALIKES = {
@@ -34,7 +35,8 @@ SEEDS = ("idiot", "stupid", "moron", "scum", "trash", "worthless", "disgusting",
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown fish", "circus clown", "sore loser")
 SEED_WEIGHT = 3.0
 SAMPLE = 3000  # toxic rows at most that the lexicon is learned from, and twice as many others, chosen by a hash of the id
-LEAST_ROWS, LEAST_ODDS, MOST_ENTRIES, DEMAND, SHORTEST, LONGEST = 2, 20.0, 5000, 3, 4, 7
+LEAST_ROWS, LEAST_ODDS, DEMAND, SHORTEST, LONGEST = 2, 20.0, 3, 4, 7
+MOST_ENTRIES = 5000  # of the lexicon; they are chosen from the four times as many that most toxic rows hold
 
 _MARKS = {c: None for c in range(0x300, 0x370)} | {0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None, 0xFEFF: None}
 _FOLD = _MARKS | {ord(k): v for k, v in LOOKALIKES.items()}
@@ -76,8 +78,8 @@ class Lexicon:
         auto.make_automaton()
         c, h, d = self.scale
 
-        def score(text: str | None) -> tuple[float, int, int]:
-            t = fold(text)
+        def score(text: str | None, folded: bool = False) -> tuple[float, int, int]:
+            t = text if folded else fold(text)
             n = t.count(" ") - 1
             best: dict[int, float] = {}
             free = []
@@ -108,18 +110,32 @@ def _grams(folded: str) -> set[str]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, toxic) of a bounded sample: labelled rows whose crc32(doc_id as text) mod 3 is not 1."""
+    """(doc_id, text, toxic) of a bounded sample: labelled rows whose crc32(doc_id as text) mod 3 is not 1.
+
+    Of rows with one id the one whose text has the least hash stands for all, so repeated rows add nothing.
+    """
     ids = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = ids.where("crc32(cast(doc_id as string)) % 3 <> 1")
     pick = lambda y, n: ids.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = F.broadcast(pick(1, sample).union(pick(0, 2 * sample)))  # 3 * sample rows at most
-    return docs.select("doc_id", "text").join(chosen, "doc_id")
+    met = docs.select("doc_id", "text").join(chosen, "doc_id")
+    return met.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.min("toxic").alias("toxic"))
+
+
+def _folded(batches):
+    for batch in batches:
+        for a in range(0, batch.num_rows, 64):
+            part = batch.slice(a, 64)
+            yield pa.RecordBatch.from_arrays([pa.array([fold(t) for t in part.column(0).to_pylist()], pa.string()), part.column(1)], ["text", "toxic"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seeds: tuple = SEEDS, exceptions: tuple = EXCEPTIONS) -> Lexicon:
-    """A lexicon from labelled rows of ``docs(doc_id, text)``; without labels, the seeds with a fixed scale."""
-    small_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, sample)
+    """A lexicon from labelled rows of ``docs(doc_id, text)``; without labels, the seeds with a fixed scale.
+
+    The sample is folded and written once; what follows reads that.
+    """
+    scratch = Scratch(docs.sparkSession, "lexicon")
+    rows = scratch.table(training_rows(docs, labels, sample).select("text", "toxic").mapInArrow(_folded, "text string, toxic int"), "sample")
 
     def count(batches):
         toxic, other, rows_ = Counter(), Counter(), [0, 0]
@@ -136,13 +152,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seeds: tuple
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
                 for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    (toxic if y else other).update(_grams(fold(text)))
+                    (toxic if y else other).update(_grams(text))
                     rows_[bool(y)] += 1
                     if len(toxic) + len(other) > 100_000:  # counts of a task are summed up to so many entries
                         yield made()
         yield made()
 
-    counts = rows.select("text", "toxic").mapInArrow(count, "gram string, a long, b long").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = scratch.table(rows.mapInArrow(count, "gram string, a long, b long").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "counts")
     totals = counts.where("gram = ''").collect()
     n1, n0 = (totals[0].a, totals[0].b) if totals else (0, 0)
     odds = F.expr(f"((a + 0.5D) / {n1 + 1}) / ((b + 0.5D) / {n0 + 1})")
@@ -161,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seeds: tuple
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.column(0).slice(a, 64).to_pylist()
-                yield pa.RecordBatch.from_pydict({"hits": pa.array([sorted(index[g] for g in _grams(fold(t)) if g in index) for t in part], pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"hits": pa.array([sorted(index[g] for g in _grams(t) if g in index) for t in part], pa.list_(pa.int64()))})
 
     held = [set(r.hits) for r in rows.where("toxic = 1").select("text").mapInArrow(hits, "hits array<long>").collect()]  # sample rows at most
     need = [DEMAND - sum(i < len(wanted) for i in h) for h in held]
@@ -171,15 +187,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seeds: tuple
         for i in h:
             if i >= len(wanted):
                 where.setdefault(i, []).append(r)
-    gain = {i: sum(need[r] > 0 for r in rs) for i, rs in where.items()}
-    while gain and len(weights) < MOST_ENTRIES:
-        # lazily refreshed gains; more rows first, then longer entries
-        i = max(gain, key=lambda i: (gain[i], len(names[i]), names[i]))
+    # more rows first, then longer entries, then the later in the alphabet; gains only shrink, and are refreshed when their turn comes
+    turn = [(-sum(need[r] > 0 for r in rs), -len(names[i]), tuple(-ord(c) for c in names[i]), i) for i, rs in where.items()]
+    heapq.heapify(turn)
+    while turn and len(weights) < MOST_ENTRIES:
+        gain, *rank, i = heapq.heappop(turn)
         now = sum(need[r] > 0 for r in where[i])
-        if now < gain[i]:
-            gain[i] = now
+        if now < -gain:
+            heapq.heappush(turn, (-now, *rank, i))
             continue
-        del gain[i]
         if now < LEAST_ROWS:
             break
         weights[names[i]] = known[names[i]]
@@ -197,7 +213,7 @@ def _calibrated(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]
     def run(batches):
         score = Lexicon(lexicon.weights, lexicon.exceptions, (0.0, 0.0, 1.0)).matcher()
         for batch in batches:
-            got = [score(t) for a in range(0, batch.num_rows, 64) for t in batch.column(0).slice(a, 64).to_pylist()]
+            got = [score(t, folded=True) for a in range(0, batch.num_rows, 64) for t in batch.column(0).slice(a, 64).to_pylist()]
             density = [float(np.log(s / (1 - s))) if s < 1 else 30.0 for s, _, _ in got]
             yield pa.RecordBatch.from_pydict({"h": pa.array([float(np.log1p(h)) for _, h, _ in got], pa.float64()), "d": pa.array(density, pa.float64()), "y": batch.column(1).cast(pa.int64())})
 

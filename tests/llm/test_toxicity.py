@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -49,7 +50,9 @@ def brute(text, lexicon):
         while at >= 0:
             best = {s: w for s, w in best.items() if not at <= s < at + len(e) + 1}
             at = t.find(f" {e} ", at + 1)
-    return len(best)
+    c, h, d = lexicon.scale
+    x = c + h * math.log(1 + len(best)) + d * math.log(1 + 100 * sum(best.values()) / max(1, t.count(" ") - 1))
+    return len(best), 1 / (1 + math.exp(-min(max(x, -30), 30)))
 
 
 def test_learns_words_of_labelled_rows_only(spark):
@@ -78,10 +81,24 @@ def test_learns_words_of_labelled_rows_only(spark):
     assert {r.doc_id for r in held} == {i for i in range(900) if zlib.crc32(str(i).encode()) % 3 == 1}
     assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held) >= 0.97 * len(held)
     text = {r[0]: r[1] for r in rows}
-    assert all(r.hits == brute(text[r.doc_id], lexicon) for r in held[:60])
+    for r in got:
+        if r.doc_id != 5000:
+            hits, score = brute(text[r.doc_id], lexicon)
+            assert r.hits == hits and math.isclose(r.score, score, rel_tol=1e-12)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
 
 
+def test_neither_order_nor_repeated_rows_change_the_lexicon(spark):
+    rng = random.Random(3)
+    bad = ["qqrst", "qqruv", "zzwxy"]
+    make = lambda i: " ".join(["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(25)] + (rng.choices(bad, k=4) if i % 3 == 0 else []))
+    rows = [(i, make(i), "en", "s", 1) for i in range(200)]
+    rows += [(i, make(i + 1), "en", "s", 1) for i in range(0, 90)] * 2
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(200)] * 2, "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    assert len({str(toxicity.learn(d, labels)) for d in (docs, docs.repartition(5))}) == 1
+
+
 def test_without_labels_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = documents(spark, awkward_rows(14, 20) + [(800, "idiot scum moron", "en", "s", 1)])
