@@ -11,16 +11,17 @@ Plan (the corpus is read three times and never shuffled; what is shuffled are pr
    prefix and size are one group; groups, not documents, are indexed by their prefix shingles, and a task emits the
    prefix of a group once. One exchange by shingle drops those that a single group holds.
 3. Group pairs pass the size filter, the positional filter and the short prefix of the smaller side.
-   First pass ("star"): in each shingle's bucket, each size slab has one pivot (of the groups that meet the shingle
-   early the one with the smallest id, so that a cluster has few) and every group is paired with the pivots of the
-   slabs in its reach; members of a group are paired with its first member. Verified links are contracted.
+   First pass ("star"): in each shingle's bucket, each size slab has one pivot (the group that meets the shingle
+   earliest) and every group is paired with the pivots of the slabs in its reach; members of a group are paired with
+   its first member. Verified links are contracted.
    Second pass ("rest"): all group pairs that pass the filters, except inside one component, expanded to members.
    Sizes and positions bound the join itself, not only what it gives; of a bucket's largest component no two rows
    meet; a heavy bucket is dealt out. Members of one group that are still apart share their prefix, so they must
    share one of the next shingles too, and are joined on those.
    Only pairs that cannot change a component are left out, so none that matters is lost, and a group of copies
    of any size costs a linear number of pairs.
-4. Verification intersects the full sets of the candidates. Sets that many pairs ask for go out to the pairs.
+4. Group pairs are screened by their whole prefixes: what these share, and where the last shared shingle stands, bounds
+   the intersection. What is left is verified on full sets. Sets that many pairs ask for go out to the pairs.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, free, small, without
@@ -149,28 +150,42 @@ def signatures(docs: DataFrame, id_col: str, text: str, size: int, num: int, den
     return marked.mapInArrow(run, f"doc_id {kind.simpleString()}, mark long, n long, class long, grp long, prefix array<long>")
 
 
+class _Bits:
+    """A bounded bit filter of ``wanted``'s keys, hashes of ``columns``, for tasks to look up; false hits only cost time."""
+
+    def __init__(self, wanted: DataFrame, columns: list[str], most: int):
+        cells = min(FILTER_BITS, 1 << max(20, (32 * most).bit_length()))
+        self.h = F.expr(f"xxhash64({', '.join(columns)}) & {cells - 1}")
+        parts = wanted.groupBy(F.bitmap_bucket_number(self.h).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(self.h)).alias("bits")).collect()
+        bits = {row.k: bytes(row.bits) for row in parts}  # so many cells, FILTER_BITS at most
+        table = np.zeros((max(bits, default=0) + 2, 4096), np.uint8)
+        for k, raw in bits.items():
+            table[k] = np.frombuffer(raw, np.uint8)
+        self.shared = wanted.sparkSession.sparkContext.broadcast(table)
+
+    def places(self) -> list[Column]:
+        return [F.bitmap_bucket_number(self.h).alias("_bucket"), F.bitmap_bit_position(self.h).alias("_bit")]
+
+
+def _hits(bitmap: np.ndarray, bucket: pa.Array, bit: pa.Array) -> np.ndarray:
+    # Spark numbers bits from 1: bucket 1 + (value - 1) // 32768, position (value - 1) % 32768; value 0 is bucket 0
+    bucket, bit = bucket.to_numpy(), bit.to_numpy()
+    known = (bucket >= 0) & (bucket < len(bitmap))
+    hit = np.zeros(len(bucket), bool)
+    hit[known] = (bitmap[bucket[known], bit[known] >> 3] >> (bit[known] & 7)) & 1
+    return hit
+
+
 def _candidate_sets(docs: DataFrame, id_col: str, text: str, size: int, wanted: DataFrame, most: int, pick=None) -> DataFrame:
-    """(class, shingles) of the classes of the rows in ``wanted(doc_id, mark)``, about ``most`` of them; a bounded bit filter
-    keeps other texts from being cut. ``pick`` chooses of a set's shingles."""
-    spark = docs.sparkSession
-    cells = min(FILTER_BITS, 1 << max(20, (32 * most).bit_length()))
-    h = F.expr(f"xxhash64(doc_id, mark) & {cells - 1}")
-    parts = wanted.groupBy(F.bitmap_bucket_number(h).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bits")).collect()
-    bits = {row.k: bytes(row.bits) for row in parts}  # so many cells, FILTER_BITS at most
-    buckets = max(bits, default=0) + 1
-    table = np.zeros((buckets + 1, 4096), np.uint8)
-    for k, raw in bits.items():
-        table[k] = np.frombuffer(raw, np.uint8)
-    shared = spark.sparkContext.broadcast(table)
+    """(class, shingles) of the classes of the rows in ``wanted(doc_id, mark)``, about ``most`` of them; a bit filter keeps
+    other texts from being cut. ``pick`` chooses of a set's shingles."""
+    bits = _Bits(wanted, ["doc_id", "mark"], most)
+    shared = bits.shared
 
     def run(batches):
         bitmap, seen = shared.value, set()
         for batch in batches:
-            # Spark numbers bits from 1: bucket 1 + (value - 1) // 32768, position (value - 1) % 32768; value 0 is bucket 0
-            bucket, pos = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            known = (bucket >= 0) & (bucket < len(bitmap))
-            hit = np.zeros(len(bucket), bool)
-            hit[known] = (bitmap[bucket[known], pos[known] >> 3] >> (pos[known] & 7)) & 1
+            hit = _hits(bitmap, batch.column(0), batch.column(1))
             if not hit.any():
                 continue
             sign, flat, ends = [], [], [0]
@@ -191,40 +206,73 @@ def _candidate_sets(docs: DataFrame, id_col: str, text: str, size: int, wanted:
     def out(sign, flat, ends):
         return pa.RecordBatch.from_arrays([pa.array(sign, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat).view(np.int64)))], ["class", "shingles"])
 
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).select(F.bitmap_bucket_number(h).alias("b"), F.bitmap_bit_position(h).alias("p"), "text")
+    cut = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).select(*bits.places(), "text")
     # the id of a class is a hash of its set, so any row of it will do
     return cut.mapInArrow(run, "class long, shingles array<long>").groupBy("class").agg(F.any_value("shingles").alias("shingles"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, size: int, num: int, den: int, firsts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of ``pairs(a, b)`` of classes, a written table, those that link."""
-    ends = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").count(), "ends")
-    asked = scratch.table(firsts.join(small(ends), "class").select("class", "doc_id", "mark", "n", "count"), "asked")
-    wanted = asked.select("doc_id", "mark")
-    sets = _candidate_sets(docs, id_col, text, size, wanted, ends.count())
-    hot = scratch.table(asked.where(F.col("count") > HOT_PAIRS).select("class", "count", "n"), "hot")
-    bytes_ = hot.agg(F.sum("n")).first()[0] or 0
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
-
-    def linked(both: DataFrame) -> DataFrame:
-        common = F.size(F.array_intersect("sa", "sb"))
-        return both.where(den * common >= num * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-    if not bytes_:
-        return linked(pairs.join(left, "a").join(right, "b"))
+def both_ends(pairs: DataFrame, sets: DataFrame, ends: DataFrame, scratch: Scratch) -> DataFrame:
+    """``pairs(a, b)``, a written table, with the columns of ``sets(key, …)`` of both ends, a_… and b_….
+
+    ``ends(key, count)`` counts the pairs of each key and ``sets`` has its size, n. The set of a key in many pairs is
+    not met by a shuffle on that key.
+    """
+    side = lambda k: sets.select(F.col("key").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in sets.columns if c != "key"))
+    left, right = side("a"), side("b")
+    hot = scratch.table(ends.where(F.col("count") > HOT_PAIRS), "hot")
+    if hot.isEmpty():
+        return pairs.join(left, "a").join(right, "b")
     # the end that more pairs ask for second
-    times = lambda k: small(hot.select(F.col("class").alias(k), F.col("count").alias(f"n{k}")))
+    times = lambda k: small(hot.select(F.col("key").alias(k), F.col("count").alias(f"n{k}")))
     known = pairs.join(times("a"), "a", "left").join(times("b"), "b", "left").na.fill(0, ["na", "nb"])
-    turned = scratch.table(known.select(F.when(F.expr("na > nb"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.expr("na > nb"), F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("na", "nb").alias("times")), "turned")
-    few = linked(turned.where("times = 0").join(left, "a").join(right, "b"))
+    turned = known.select(F.expr("if(na > nb, b, a)").alias("a"), F.expr("if(na > nb, a, b)").alias("b"), F.greatest("na", "nb").alias("times"))
+    turned = scratch.table(turned, "turned")
+    few = turned.where("times = 0").join(left, "a").join(right, "b")
     many = turned.where("times > 0").join(left, "a")
-    of_hot = right.join(small(hot.select(F.col("class").alias("b"), F.ceil(F.col("count") / HOT_PAIRS).alias("salts"))), "b")
-    if 8 * bytes_ <= HOT_BYTES:
-        return few.union(linked(many.join(F.broadcast(of_hot.drop("salts")), "b")))
+    of_hot = scratch.table(right.join(small(hot.select(F.col("key").alias("b"), F.ceil(F.col("count") / HOT_PAIRS).alias("salts"))), "b"), "hot-sets")
+    if 8 * of_hot.agg(F.sum("b_n")).first()[0] <= HOT_BYTES:
+        return few.unionByName(many.join(F.broadcast(of_hot.drop("salts")), "b"))
     salted = of_hot.withColumn("salt", F.explode(F.expr("sequence(0L, salts - 1)"))).drop("salts")
     many = many.withColumn("salt", F.expr(f"pmod(xxhash64(a), cast(ceil(times / {HOT_PAIRS}D) as bigint))"))
-    return few.union(linked(many.join(salted, ["b", "salt"])))
+    return few.unionByName(many.join(salted, ["b", "salt"]).drop("salt"))
+
+
+def _ends(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    return scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").count(), "ends")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, size: int, num: int, den: int, firsts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of ``pairs(a, b)`` of classes, a written table, those that link."""
+    ends = _ends(pairs, scratch)
+    wanted = firsts.join(small(ends), F.col("class") == F.col("key"), "left_semi").select("doc_id", "mark")
+    sets = _candidate_sets(docs, id_col, text, size, wanted, ends.count()).select(F.col("class").alias("key"), "shingles", F.size("shingles").alias("n"))
+    both = both_ends(pairs, sets, ends, scratch)
+    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    return both.where(den * common >= num * (F.col("a_n") + F.col("b_n") - common)).select("a", "b")
+
+
+def screened(pairs: DataFrame, signed: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Of ``pairs(a, b)`` of groups, a written table, those whose prefixes allow a link.
+
+    Let the prefixes share c shingles, the last of them i-th of one and j-th of the other. Up to the end of one of the
+    prefixes, whichever ends first in the order, nothing else is shared; beyond it at most all of the shorter rest.
+    """
+    ends = _ends(pairs, scratch)
+    bits = _Bits(ends, ["key"], ends.count())
+    shared = bits.shared
+
+    def run(batches):
+        for batch in batches:
+            hit = pa.array(_hits(shared.value, batch.column(0), batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(hit) for k in (2, 3, 4)], ["key", "size", "prefix"])
+
+    rows = signed.where("size(prefix) > 0").select(F.col("grp").alias("key"), F.col("n").alias("size"), "prefix")
+    sets = rows.select(*bits.places(), "key", "size", "prefix").mapInArrow(run, "key long, size long, prefix array<long>")
+    sets = sets.groupBy("key").agg(F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix")).withColumn("n", F.size("prefix"))
+    both = both_ends(pairs, sets, ends, scratch).withColumn("common", F.array_intersect("a_prefix", "b_prefix")).where("size(common) > 0")
+    both = both.withColumn("i", F.expr("array_position(a_prefix, element_at(common, -1))")).withColumn("j", F.expr("array_position(b_prefix, element_at(common, -1))"))
+    beyond = "greatest(least(a_size - a_n, b_size - j), least(a_size - i, b_size - b_n))"
+    return both.where(f"{num + den} * (size(common) + {beyond}) >= {num} * (a_size + b_size)").select("a", "b")
 
 
 def reach(num: int, den: int) -> str:
@@ -282,11 +330,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     # star: every row with the pivots of the slabs in its reach; members with the head of their group
     slab = lambda n, steps=1: f"cast(floor(ln({n}) * {steps} / {math.log(den / num) * (1 + 1e-9)}D) as int)" if num < den else f"cast({n} as int)"
     least, most = f"cast(ceil({num} * n / {den}D) as bigint)", f"least(greatest(n, {reach(num, den)}), {den}L * n div {num})"
-    pivots = scratch.table(index.withColumn("slab", F.expr(slab("n"))).groupBy("token", "slab").agg(F.min(F.struct(~F.col("short"), "grp", "n", "pos", "short")).alias("p")).select("token", "slab", "p.grp", "p.n", "p.pos", "p.short"), "pivots")
+    pivots = scratch.table(index.withColumn("slab", F.expr(slab("n"))).groupBy("token", "slab").agg(F.min(F.struct("pos", "n", "grp", "short")).alias("p")).select("token", "slab", "p.grp", "p.n", "p.pos", "p.short"), "pivots")
     near = index.withColumn("slab", F.explode(F.expr(f"sequence({slab(least)}, {slab(most)})")))
     met = near.alias("x").join(pivots.alias("y"), ["token", "slab"])
     met = met.where(F.expr(f"x.grp <> y.grp and (({_passes('x', 'y', num, den)}) or ({_passes('y', 'x', num, den)}))"))
-    stars = scratch.table(met.select(F.expr("least(x.grp, y.grp) g1"), F.expr("greatest(x.grp, y.grp) g2")).distinct(), "stars")
+    likely = lambda met: screened(scratch.table(met.select(F.expr("least(x.grp, y.grp) a"), F.expr("greatest(x.grp, y.grp) b")).distinct(), "met"), signed, num, den, scratch).toDF("g1", "g2")
+    stars = scratch.table(likely(met), "stars")
     one = lambda g, c: heads.select(F.col("grp").alias(g), F.col("head").alias(c))
     across = stars.join(one("g1", "a"), "g1").join(one("g2", "b"), "g2").select("a", "b")
     crowd = heads.where("size > 1")
@@ -306,7 +355,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     x = left_over.where("short").withColumn("bx", F.expr(size_of("n"))).withColumn("by", F.explode(F.expr(f"sequence(bx, {size_of(most)})")))
     y = left_over.withColumn("by", F.expr(size_of("n"))).where(f"{least} <= least(n, {reach(num, den)})").withColumn("bx", F.explode(F.expr(f"sequence({size_of(least)}, {size_of(f'least(n, {reach(num, den)})')})")))
     met = paired(x, y, ["token", "bx", "by"], scratch).where(F.expr(f"{_passes('x', 'y', num, den)} and not coalesce(x.one = y.one, false)"))
-    rest = met.select(F.expr("least(x.grp, y.grp) g1"), F.expr("greatest(x.grp, y.grp) g2")).distinct()
+    rest = scratch.table(likely(met), "apart-pairs")
     side = lambda g, c, k: known.select(F.col("grp").alias(g), F.col("class").alias(c), F.col("comp").alias(k))
     across = rest.join(side("g1", "a", "ka"), "g1").join(side("g2", "b", "kb"), "g2").where("ka <> kb").select("a", "b")
     apart = scratch.table(known.join(span.where("c1 <> c2").select("grp"), "grp", "left_semi"), "apart")
