@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import etl
 from ..sources import files, tables
+from ..storage import Tables
 from .registry import query, rounded
 
 
@@ -71,7 +72,10 @@ def s02_coercion(spark, sf):
     return files.coerced(raw).select("id", "title", "country", "workplace", "schedule", "salary_year", "listings", "no_degree")
 
 
-@query("SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, count(*) AS n FROM conversations WHERE regexp_full_match(text, '[ -~\\s]*') GROUP BY ALL")
+SPACE_CLASS = "[" + "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+"
+
+
+@query(f"SELECT trim(regexp_replace(coalesce(text, ''), '{SPACE_CLASS}', ' ', 'g')) AS text, count(*) AS n FROM conversations GROUP BY ALL")
 def e01_squeezed(spark, sf):
     from ..functions.text import squeezed
 
@@ -82,3 +86,44 @@ def e01_squeezed(spark, sf):
 def f00_pushed_scan(spark, sf):
     orders = tables.table(spark, sf, "orders").where("o_orderdate >= date'1996-01-01' and o_orderdate < date'1997-01-01'")
     return rounded(orders.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total")), "total")
+
+
+@query("SELECT role_family, count(*) AS n FROM listing GROUP BY ALL", ("listing",))
+def e10_role_labels(spark, sf):
+    return etl.role_labels(tables.listings(spark, sf))
+
+
+@query("SELECT skill, n, rank::INT AS rank FROM (SELECT skill, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, skill) AS rank FROM (SELECT unnest(skills) AS skill FROM listing) GROUP BY skill) WHERE rank <= 15", ("listing",))
+def e10_top_skills(spark, sf):
+    return etl.top_skills(tables.listings(spark, sf))
+
+
+@query(
+    """SELECT p_name AS title, p_brand AS company, p_type AS role_family, CASE WHEN p_size % 2 = 0 THEN 'Remote' ELSE 'Not remote' END AS workplace, 'sql|power bi' AS skills, '2023-0' || (1 + p_size % 9) || '-07' AS posted,
+  CASE WHEN p_size % 3 = 0 THEN p_retailprice END AS salary_year, p_brand AS via, p_size % 5 = 0 AS no_degree FROM part"""
+)
+def e11_scrubbed(spark, sf):
+    part = tables.table(spark, sf, "part")
+    raw = part.selectExpr(
+        "p_type job_title_short", "concat('  ', replace(p_name, ' ', '  '), '\t') job_title", "'' job_location", "concat('via ', p_brand) job_via", "'Full-time' job_schedule_type", "if(p_size % 2 = 0, 'True', 'False') job_work_from_home",
+        "concat('2023-0', cast(1 + p_size % 9 as string), '-07 12:30:00') job_posted_date", "if(p_size % 5 = 0, 'True', 'False') job_no_degree_mention", "'False' job_health_insurance", "'X' job_country", "'year' salary_rate",
+        "if(p_size % 3 = 0, cast(p_retailprice as string), 'n/a') salary_year_avg", "null salary_hour_avg", "concat(p_brand, ' ') company_name", "\"['SQL', 'sql', ' Power  BI ']\" job_skills",
+    )
+    return etl.scrubbed(raw).select("title", "company", "role_family", "workplace", F.array_join("skills", "|").alias("skills"), "posted", "salary_year", "via", "no_degree")
+
+
+@query(
+    "SELECT id, title, company, location, country, workplace, schedule, role_family, array_to_string(skills, '|') AS skills, posted::VARCHAR AS posted, salary_year, listings FROM listing",
+    ("listing",),
+)
+def s07_listing_file(spark, sf):
+    """Records written as CSV and read again."""
+    rows = tables.listings(spark, sf)
+    none = F.lit(None).cast("string")
+    path = f"{Tables(spark, 'listings').root}/listings.csv"
+    files.write_listings(rows.select(
+        F.col("id").alias("job_id"), "title", "company", "location", "country", "workplace", "schedule", "role_family", "skills", "posted", F.col("salary_year").alias("salary_year_avg"),
+        none.alias("salary_hour_avg"), none.alias("salary_rate"), none.alias("via"), "listings", none.alias("no_degree"), none.alias("health_insurance"),
+    ), path)
+    out = files.read_listings(spark, path)
+    return out.select("id", "title", "company", "location", "country", "workplace", "schedule", "role_family", F.array_join("skills", "|").alias("skills"), F.col("posted").cast("string").alias("posted"), "salary_year", "listings")

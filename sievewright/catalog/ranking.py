@@ -1,12 +1,16 @@
 """Scoring, filtering and ranking queries."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..config import Ranking
 from ..operators import analyze, dedup, filters, index, rank, score
+from ..plans import search
+from ..plans.evaluation import SYSTEMS
 from ..sources import tables
 from .analysis import TEXT_TF, _analysis
-from .registry import WORDS, batch, catalog_index, query, rounded, sql_terms, text_index
+from .registry import WORDS, batch, catalog_index, once, query, rounded, sql_terms, text_index
 
 TEXT_Q = TEXT_TF + ", q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in WORDS) + f") v(query_id, query)), qt AS (SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest({sql_terms('query', True)}) AS term FROM q) GROUP BY ALL) "
 TEXT_COS = (
@@ -25,9 +29,10 @@ class _Scored:
         self.vectors = analyze.query_vectors(self.route, self.ix.terms)
         self.flat_words = analyze.flat_query(self.words)
         self.flat = analyze.query_vectors(self.flat_words, self.ix.terms)
-        self.cosines = score.zone_cosine(self.vectors, self.flat, self.ix.posts, cfg)
         self.jaccards = score.jaccard(self.flat_words, self.ix.tf)
-        self.hybrid = score.hybrid(self.cosines, self.jaccards, cfg)
+        make = lambda: score.hybrid(score.zone_cosine(self.vectors, self.flat, self.ix.posts, cfg), self.jaccards, cfg)
+        self.hybrid = once(spark, sf, f"hybrid {cfg}", make)
+        self.cosines = self.hybrid.select("query_id", "doc_id", "cosine")
 
 
 def _text(spark, sf):
@@ -220,16 +225,57 @@ def k04_mmr(spark, sf):
     return rank.mmr(rank.top_k(s.hybrid, 40), index.term_sets(s.ix.zoned), 10, 0.7)
 
 
-SETS = f"WITH t AS (SELECT doc_id, list_distinct({sql_terms('lower(text)')}) AS terms FROM documents), s AS (SELECT doc_id, unnest(terms) AS term FROM t), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL), p AS (SELECT a, b, m / (len(x.terms) + len(y.terms) - m) AS jaccard FROM c JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE m / (len(x.terms) + len(y.terms) - m) >= 0.8)"
+SETS = f"""WITH t AS (SELECT min(doc_id) AS doc_id, terms, list(doc_id) AS docs FROM (SELECT doc_id, list_sort(list_distinct({sql_terms('lower(text)')})) AS terms FROM documents) WHERE len(terms) > 0 GROUP BY terms),
+s AS (SELECT doc_id, unnest(terms) AS term FROM t), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL),
+p AS (SELECT a, b, m / (len(x.terms) + len(y.terms) - m) AS jaccard FROM c JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE m / (len(x.terms) + len(y.terms) - m) >= 0.8)"""
 
 
 @query(SETS + " SELECT a, b, round_even(jaccard, 6) AS jaccard FROM p")
 def x10_near_pairs(spark, sf):
+    """Pairs of different sets, each named by its smallest document; x10_kinds says which documents have it."""
     sets = index.term_sets(text_index(spark, sf).zoned)
-    return rounded(dedup.all_pairs(sets, 0.8), "jaccard")
+    return rounded(dedup.near_pairs(sets, 0.8), "jaccard")
+
 
+@query(SETS + " SELECT unnest(docs) AS doc_id, doc_id AS kind FROM t")
+def x10_kinds(spark, sf):
+    return dedup.members(index.term_sets(text_index(spark, sf).zoned))
 
-@query("WITH RECURSIVE " + SETS.removeprefix("WITH ") + ", e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT a AS doc_id, a AS g FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.g) SELECT doc_id, min(g) AS group_id FROM r GROUP BY doc_id")
+
+@query("WITH RECURSIVE " + SETS.removeprefix("WITH ") + ", e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT doc_id AS k, doc_id AS g FROM t UNION SELECT r.k, e.b FROM r JOIN e ON e.a = r.g), l AS (SELECT k, min(g) AS g FROM r GROUP BY k), o AS (SELECT unnest(docs) AS doc_id, l.g AS group_id FROM t JOIN l ON k = t.doc_id) SELECT doc_id, group_id FROM o WHERE group_id IN (SELECT group_id FROM o GROUP BY ALL HAVING count(*) > 1)")
 def x10_near_groups(spark, sf):
     sets = index.term_sets(text_index(spark, sf).zoned)
-    return dedup.groups(dedup.near_pairs(sets, 0.8))
+    return dedup.groups(dedup.near_pairs(sets, 0.8), dedup.members(sets))
+
+
+@query("SELECT query_id, doc_id, round_even((0.85 * cosine + 0.35 * coalesce(jaccard, 0)) / 1.2, 6) AS score FROM fcos LEFT JOIN jac USING (query_id, doc_id)", ("fcos", "jac"))
+def r12_tfidf_jaccard(spark, sf):
+    return rounded(search.Search(catalog_index(spark, sf), batch(spark)).baseline_scores("tfidf_jaccard"), "score")
+
+
+SCORED = """, bl AS (SELECT doc_id, sum(tf) AS len FROM tf WHERE zone = 'flat' GROUP BY doc_id), bm AS (SELECT sum(len) / (SELECT n FROM total) AS mean FROM bl),
+sc AS (SELECT 'hybrid' AS system, query_id, doc_id, score FROM hyb UNION ALL SELECT 'keyword', query_id, doc_id, count(*) FROM flatq JOIN tf USING (zone, term) GROUP BY query_id, doc_id
+  UNION ALL SELECT 'tfidf', query_id, doc_id, cosine FROM fcos UNION ALL SELECT 'tfidf_jaccard', query_id, doc_id, (0.85 * cosine + 0.35 * coalesce(jaccard, 0)) / 1.2 FROM fcos LEFT JOIN jac USING (query_id, doc_id)
+  UNION ALL SELECT 'bm25', query_id, doc_id, sum(ln((total.n - df + 0.5) / (df + 0.5) + 1) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * len / mean))) FROM flatq JOIN dict USING (zone, term) JOIN tf USING (zone, term) JOIN bl USING (doc_id), bm, total GROUP BY query_id, doc_id) """
+SCORED_PARTS = ("hyb", "flatq", "tf", "fcos", "jac", "dict", "total")
+
+
+@query(SCORED + "SELECT system, query_id, doc_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY system, query_id ORDER BY round(score, 12) DESC, ((doc_id % 1048576) * 2654435761 + 3 * 40503) % 4294967296, doc_id) AS rank FROM sc WHERE system = 'hybrid' OR score > 0) WHERE rank <= 10", SCORED_PARTS)
+def c14_rank_ids(spark, sf):
+    """The first ten of every system under one tie-break."""
+    s = search.Search(catalog_index(spark, sf), batch(spark), Ranking(diversity=False))
+    parts = [s.baseline(n, 10, 3).select(F.lit(n).alias("system"), "query_id", "doc_id", "rank") for n in SYSTEMS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("SELECT 'listings' AS name, count(*) AS value FROM listing UNION ALL SELECT 'vocabulary ' || zone, count(*) FROM dict GROUP BY zone UNION ALL SELECT 'filter company', count(DISTINCT company) FROM listing UNION ALL SELECT 'filter country', count(DISTINCT country) FROM listing UNION ALL SELECT 'filter workplace', count(DISTINCT workplace) FROM listing UNION ALL SELECT 'filter schedule', count(DISTINCT schedule) FROM listing UNION ALL SELECT 'filter role_family', count(DISTINCT role_family) FROM listing", ("listing", "dict"))
+def c15_meta(spark, sf):
+    return search.meta(catalog_index(spark, sf))
+
+
+@query()
+def c08_trace(spark, sf):
+    """Each system's first five and the rankings before and after spreading, of one query."""
+    s = search.Search(catalog_index(spark, sf), batch(spark, [(1, "small ring economy")]))
+    parts = [df.select(F.lit(name).alias("step"), "doc_id", "rank") for name, df in s.trace(5).items() if {"doc_id", "rank"} <= set(df.columns)]
+    return reduce(lambda a, b: a.unionByName(b), parts)

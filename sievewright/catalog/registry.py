@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from ..functions import text as T
 from ..operators import index
 from ..operators.index import Index
 from ..sources import tables
+from ..storage import Tables, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,9 +128,8 @@ FROM part LEFT JOIN (
   JOIN (SELECT o_custkey, coalesce(list_sort(list(DISTINCT replace(lower(n_name), '_', ' ')) FILTER (l_discount >= 0.09)), []) AS skills FROM custitem GROUP BY ALL) USING (o_custkey)""",
         ("custitem",),
     ),
-    "few": ("SELECT * FROM profile WHERE profile_id < 20", ("profile",)),
-    "mine": ("SELECT profile_id, unnest(skills) AS mine FROM few", ("few",)),
-    "need": ("SELECT m.profile_id, r.query_id, r.key, r.prevalence, r.priority, mine.mine FROM (SELECT DISTINCT profile_id FROM few) m CROSS JOIN req r LEFT JOIN mine ON mine.profile_id = m.profile_id AND mine.mine = r.key", ("few", "req", "mine")),
+    "mine": ("SELECT profile_id, unnest(skills) AS mine FROM profile", ("profile",)),
+    "need": ("SELECT m.profile_id, r.query_id, r.key, r.prevalence, r.priority, mine.mine FROM (SELECT DISTINCT profile_id FROM profile) m CROSS JOIN req r LEFT JOIN mine ON mine.profile_id = m.profile_id AND mine.mine = r.key", ("profile", "req", "mine")),
 }
 
 
@@ -157,24 +156,32 @@ def batch(spark: SparkSession, rows=BATCH) -> DataFrame:
 _saved: dict[tuple[str, str, str], Index] = {}
 
 
-def _shared(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[], Index]) -> Index:
+def _shared(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[str], Index]) -> Index:
     """An index that is built once in a session, saved in the shared folder and read from there by every query."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _saved:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="index-")
-        path = f"{root.rstrip('/')}/index-{kind}-{uuid.uuid4().hex}"
-        build().save(path)
-        _saved[key] = Index.load(spark, path)
+        _saved[key] = build(f"{shared_folder(spark)}/index-{kind}-{uuid.uuid4().hex}")
     return _saved[key]
 
 
 def catalog_index(spark: SparkSession, sf_dir: str) -> Index:
-    return _shared(spark, sf_dir, "listings", lambda: Index.build(tables.listings(spark, sf_dir)))
+    return _shared(spark, sf_dir, "listings", lambda path: Index.written(tables.listings(spark, sf_dir), path))
 
 
 def text_index(spark: SparkSession, sf_dir: str) -> Index:
     docs = tables.corpus(spark, sf_dir)
-    return _shared(spark, sf_dir, "documents", lambda: Index.build(docs.select(F.col("doc_id").alias("id"), "title", "lang", "source"), index.flat_terms(docs, "doc_id", "body")))
+    return _shared(spark, sf_dir, "documents", lambda path: Index.written(docs.select(F.col("doc_id").alias("id"), "title", "lang", "source"), path, lambda _: index.flat_terms(docs, "doc_id", "body")))
+
+
+_made: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries read: written by the first of a session that needs it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _made:
+        _made[key] = Tables(spark, "once").written(make())
+    return _made[key]
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:

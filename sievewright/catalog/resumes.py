@@ -16,7 +16,7 @@ def _texts(spark, sf):
 
 @query()
 def u02_sections(spark, sf):
-    return resume.sections(_texts(spark, sf))
+    return resume.sections(_texts(spark, sf)).drop("first_line")
 
 
 @query("SELECT resume_id, count(*) AS lines FROM (SELECT conv_id * 1000 + turn AS resume_id, unnest(string_split(text, chr(10))) AS l FROM conversations) GROUP BY resume_id")
@@ -48,3 +48,50 @@ def u06_extract(spark, sf):
     vocabulary = Vocabulary.of([("the and", "x"), ("der", "y"), ("les que", "z")])
     found = F.explode(vocabulary.extracted(F.col("text"))).alias("s")
     return tables.table(spark, sf, "conversations").select("conv_id", "turn", found).select("conv_id", "turn", "s.key", "s.type")
+
+
+HEADED = ("CASE p_size % 3 WHEN 0 THEN 'A. Name' || chr(10) || 'Senior Data Engineer | ' || p_brand || ' 2019 - 2021' WHEN 1 THEN 'A. Name' || chr(10) || 'Experience' || chr(10) || '- ran things as a manager' || chr(10) || 'Cloud Administrator at ' || p_name || ', Mar 2020' ELSE p_name END")
+
+
+@query("SELECT p_partkey AS resume_id, CASE p_size % 3 WHEN 0 THEN 'Senior Data Engineer' ELSE 'Cloud Administrator' END AS role FROM part WHERE p_size % 3 < 2")
+def u03_roles(spark, sf):
+    text = F.expr(HEADED.replace("chr(10)", "'\n'"))
+    return resume.roles(tables.table(spark, sf, "part").select(F.col("p_partkey").alias("resume_id"), text.alias("text")))
+
+
+@query("SELECT p_partkey AS resume_id, unnest([trim(regexp_replace(lower(p_name), '[^a-z0-9+#. ]+', ' ', 'g')), 'aws', 'ec2', 's3', 'kubernetes']) AS key, unnest(['custom', 'dataset', 'custom', 'custom', 'dataset']) AS status FROM part")
+def u07_from_list(spark, sf):
+    vocabulary = Vocabulary.of([("AWS", "cloud"), ("Kubernetes", "tool")])
+    items = F.array("p_name", F.lit("AWS (EC2, S3); K8s"), F.lit(" - "))
+    found = F.explode(vocabulary.from_lists(items)).alias("s")
+    return tables.table(spark, sf, "part").select(F.col("p_partkey").alias("resume_id"), found).select("resume_id", "s.key", "s.status")
+
+
+def _resumes(spark, sf):
+    """A resume of each part: a header, a skills section with wrapped lines, dated jobs."""
+    lines = [F.lit("A. Name"), F.concat(F.lit("Senior Data Engineer at "), F.col("p_brand")), F.lit("Technical Skills"), F.lit("Cloud: AWS, Google\u2011Cloud,"), F.lit("Azure"), F.lit("Tools: Terraform (modules, state)"), F.lit("Experience"), F.concat(F.lit("Cloud Engineer, Jan 2019 - "), (F.col("p_size") % 5 + 2019).cast("string")), F.lit("\u2022 kept Kubernetes running")]
+    return tables.table(spark, sf, "part").select(F.col("p_partkey").alias("resume_id"), F.concat_ws("\n", *lines).alias("text"))
+
+
+KNOWN = (("AWS", "cloud"), ("Azure", "cloud"), ("GCP", "cloud"), ("Kubernetes", "tool"), ("Terraform", "tool"))
+
+
+@query("SELECT p_partkey AS resume_id, 'Cloud Engineer' AS role, 'Cloud & DevOps' AS department, round_even(p_size % 5 + 1, 1)::DOUBLE AS years, 'aws|gcp|azure|terraform|modules|state|kubernetes' AS skills, 'skills|experience' AS sections, 0 AS warnings FROM part")
+def u10_parsed(spark, sf):
+    out = resume.parsed(_resumes(spark, sf), Vocabulary.of(KNOWN), "2024-01-01")
+    return out.select("resume_id", "role", "department", "years", F.array_join(F.transform("skills", lambda s: s["key"]), "|").alias("skills"), F.array_join("sections", "|").alias("sections"), F.size("warnings").alias("warnings"))
+
+
+@query()
+def u11_steps(spark, sf):
+    """The step log of resumes, one of them broken."""
+    texts = _resumes(spark, sf)
+    path = F.concat(F.lit("/resumes/"), F.col("resume_id").cast("string"), F.lit(".pdf"))
+    files = texts.select(path.alias("path"), F.length("text").cast("long").alias("size"), "text", F.lit(1).alias("pages"), F.when(F.col("resume_id") == 1, "encrypted").alias("error"))
+    profiles = resume.parsed(texts.select(path.alias("resume_id"), "text"), Vocabulary.of(KNOWN), "2024-01-01")
+    return resume.steps(files, profiles).select("path", F.inline("steps"))
+
+
+@query()
+def t19_cleaned(spark, sf):
+    return tables.table(spark, sf, "conversations").select("conv_id", "turn", resume.cleaned(F.col("text")).alias("text"))

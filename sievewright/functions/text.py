@@ -13,14 +13,15 @@ from .stem import stem
 
 #: Function words dropped from every text.
 STOP_WORDS = (
-    "a an the and or is are to of in for with on as at by be this that from it its was were will can has have had "
-    "i me my we our you your into about than so not no but if who what where how any some also very just do does"
-).split()
+    "a", "an", "the", "and", "or", "is", "are", "to", "of", "in", "for", "with", "on", "as", "at", "by", "be", "this", "that", "from", "it", "its",
+    "was", "were", "will", "can", "has", "have", "had", "i", "me", "my", "we", "our", "you", "your", "into", "about", "than", "so", "not", "no",
+    "but", "if", "who", "what", "where", "how", "any", "some", "also", "very", "just", "do", "does",
+)
 #: Words dropped from queries only.
 QUERY_STOP_WORDS = (
-    "job jobs role roles position positions opening openings vacancy vacancies looking want wanted find search need "
-    "career careers opportunity opportunities near based like please show give best good"
-).split()
+    "job", "jobs", "role", "roles", "position", "positions", "opening", "openings", "vacancy", "vacancies", "looking", "want", "wanted", "find",
+    "search", "need", "career", "careers", "opportunity", "opportunities", "near", "based", "like", "please", "show", "give", "best", "good",
+)
 #: Letters that have no decomposition into a base letter and marks.
 LETTERS = {"ł": "l", "Ł": "L", "ı": "i", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "ð": "d"}
 #: Words added to a schedule that contains the first.
@@ -64,8 +65,8 @@ def _words(values) -> Column:
 
 def _reason(token: Column, query: bool) -> Column:
     low = F.lower(token)
-    out = F.when((F.length(low) < 2) & ~low.rlike("^[0-9]$"), "too short").when(low.isin(STOP_WORDS) & ~is_acronym(token), "stop word")
-    return out.when(low.isin(QUERY_STOP_WORDS), "query stop word") if query else out
+    out = F.when((F.length(low) < 2) & ~low.rlike("^[0-9]$"), "too short").when(low.isin(*STOP_WORDS) & ~is_acronym(token), "stop word")
+    return out.when(low.isin(*QUERY_STOP_WORDS), "query stop word") if query else out
 
 
 def normalized(tokens: Column, query: bool = False) -> Column:
@@ -126,13 +127,16 @@ def portable_hash(id_: Column, seed: int) -> Column:
 # the dropped first version of the tokenizer, kept for comparison of results
 
 #: Its stop words.
-FIRST_STOP_WORDS = "a an the and or is are to of in for with on as at by be this that from it its was were will can has have had".split()
+FIRST_STOP_WORDS = (
+    "a", "an", "the", "and", "or", "is", "are", "to", "of", "in", "for", "with", "on", "as", "at", "by", "be", "this", "that", "from", "it", "its",
+    "was", "were", "will", "can", "has", "have", "had",
+)
 
 
 def first_version(text: Column) -> Column:
     """Lower-cased tokens without the first version's stop words; other signs part words."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.filter(found, lambda t: ~t.isin(FIRST_STOP_WORDS))
+    return F.filter(found, lambda t: ~t.isin(*FIRST_STOP_WORDS))
 
 
 def stemmed_segments(segments: Column) -> Column:

@@ -1,75 +1,69 @@
-"""Near-duplicate groups of term sets: pairs by shared terms, then transitive closure."""
+"""Near-duplicate groups of term sets: pairs of different sets by shared terms, then transitive closure."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Tables
+
+HEAVY = 1 << 18  # pairs of one term beyond which they are dealt out to several tasks
+
+
+def members(sets: DataFrame) -> DataFrame:
+    """(doc_id, kind): documents with equal sets are of one kind, which their smallest id names. Empty sets have none."""
+    sets = sets.select("doc_id", F.array_sort(F.array_distinct("terms")).alias("terms")).where(F.size("terms") > 0)
+    marked = sets.select("doc_id", F.xxhash64("terms").alias("h1"), F.md5(F.array_join("terms", " ")).alias("h2"))
+    kinds = marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("kind"))
+    return marked.join(kinds, ["h1", "h2"]).select("doc_id", "kind")
+
 
 def near_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of ``sets(doc_id, terms)`` with a < b and Jaccard >= threshold.
+    """(a, b, jaccard) of kinds of ``sets(doc_id, terms)`` with a < b and Jaccard >= threshold; ``members`` says who is of a kind.
 
-    Equal sets are joined once, by their smallest id. A set can only reach the threshold with a partner that shares one
-    of its first |x| - ceil(t |x|) + 1 terms in the order of rising document frequency, so only those are joined.
+    A set can only reach the threshold with a partner that shares one of its first |x| - ceil(t |x|) + 1 terms in the
+    order of rising document frequency, so only those are joined, on 64-bit hashes; the sets themselves are compared
+    after. A term that very many sets meet in is dealt out.
     """
-    # distinct terms, and sets as strings so that equal ones group
+    tables = Tables(sets.sparkSession, "near-pairs")
     sets = sets.select("doc_id", F.array_sort(F.array_distinct("terms")).alias("terms")).where(F.size("terms") > 0)
-    one = sets.groupBy("terms").agg(F.min("doc_id").alias("doc_id"))
-    each = one.select("doc_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    one = tables.written(sets.groupBy("terms").agg(F.min("doc_id").alias("doc_id")))
+    each = one.select("doc_id", F.size("terms").alias("n"), F.explode("terms").alias("term")).select("doc_id", "n", F.xxhash64("term").alias("term"))
     df = each.groupBy("term").agg(F.count("*").alias("df"))
     ordered = each.join(df, "term").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("s"))  # terms of one text
-    prefix = ordered.select("doc_id", "n", F.posexplode(F.slice("s", 1, F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)).alias("pos", "x")).select("doc_id", "n", "pos", F.col("x.term").alias("term"))
+    reach = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
+    prefix = tables.written(ordered.select("doc_id", "n", F.posexplode(F.slice("s", 1, reach)).alias("pos", "x")).select("doc_id", "n", "pos", F.col("x.term").alias("term")))
+    heavy = prefix.groupBy("term").agg(F.count("*").alias("c")).where(f"c * c > {HEAVY}").select("term", F.expr(f"c * c div {HEAVY} + 1").alias("shares"))
+    dealt = prefix.join(heavy, "term", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    x = dealt.withColumn("share", F.expr("pmod(xxhash64(doc_id), shares)"))
+    y = dealt.withColumn("share", F.explode(F.expr("sequence(0L, shares - 1)")))
     bound = threshold / (1 + threshold)
     cond = f"x.doc_id < y.doc_id and least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) - 1e-9 and least(x.n - x.pos, y.n - y.pos) >= {bound} * (x.n + y.n) - 1e-9"
-    met = prefix.alias("x").join(prefix.alias("y"), "term").where(cond).select(F.expr("x.doc_id a"), F.expr("y.doc_id b")).distinct()
+    met = x.alias("x").join(y.alias("y"), ["term", "share"]).where(cond).select(F.expr("x.doc_id a"), F.expr("y.doc_id b")).distinct()
     left, right = (one.select(F.col("doc_id").alias(k), F.col("terms").alias(f"t{k}")) for k in "ab")
     both = met.join(left, "a").join(right, "b").withColumn("m", F.size(F.array_intersect("ta", "tb")))
-    scored = both.withColumn("jaccard", F.col("m") / (F.size("ta") + F.size("tb") - F.col("m"))).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
-    # equal sets: each with the first of its kind
-    same = sets.join(one.withColumnRenamed("doc_id", "a"), "terms").where("a < doc_id").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
-    return scored.unionByName(same)
-
-
-def all_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of every pair of documents, copies included: pairs of kinds times their members."""
-    pairs = near_pairs(sets, threshold)
-    kinds = pairs.where("jaccard = 1").select(F.col("a").alias("kind"), F.col("b").alias("doc_id"))
-    members = kinds.unionByName(sets.select(F.col("doc_id").alias("kind"), "doc_id").join(kinds.select("doc_id"), "doc_id", "left_anti").select("kind", "doc_id"))
-    x, y = members.select(F.col("kind").alias("a"), F.col("doc_id").alias("da")), members.select(F.col("kind").alias("b"), F.col("doc_id").alias("db"))
-    across = pairs.where("jaccard < 1").join(x, "a").join(y, "b").select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"), "jaccard")
-    within = x.alias("x").join(y.withColumnRenamed("b", "a").alias("y"), "a").where("da < db").select(F.col("da").alias("a"), F.col("db").alias("b"), F.lit(1.0).alias("jaccard"))
-    return across.unionByName(within)
+    return both.withColumn("jaccard", F.col("m") / (F.size("ta") + F.size("tb") - F.col("m"))).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
 
-def groups(pairs: DataFrame) -> DataFrame:
-    """(doc_id, group_id) of the connected components: the smallest id over links, spread until nothing changes.
+def groups(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(doc_id, group_id) of documents that are not alone: the smallest id over links and kinds.
 
-    Each round is written to the shared checkpoint folder, so lost executors cost one round.
+    Labels spread over links and over the labels of labels until none moves. Each round is written, so a lost executor
+    costs one round.
     """
-    spark = pairs.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    root = os.path.join(root, f"groups-{uuid.uuid4().hex}")
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.parquet(f"{root}/{name}")
-
-    edges = kept(pairs.select("a", "b").union(pairs.select("b", "a")), "edges")
-    labels = kept(edges.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("m")).select("doc_id", F.least("doc_id", "m").alias("group_id")), "labels-0")
-    for i in range(1, 64):
-        near = edges.join(labels, edges["b"] == labels["doc_id"]).groupBy("a").agg(F.min("group_id").alias("m"))
-        hop = labels.join(near, labels["doc_id"] == near["a"]).select("doc_id", F.least("group_id", "m").alias("g"), "group_id")
-        # and on to the label of the label
-        up = hop.select(F.col("doc_id").alias("g"), F.col("g").alias("gg"))
-        new = kept(hop.join(up, "g", "left").select("doc_id", F.coalesce("gg", "g").alias("group_id"), (F.coalesce("gg", "g") != F.col("group_id")).alias("moved")), f"labels-{i}")
-        labels = new.select("doc_id", "group_id")
-        if new.where("moved").isEmpty():
-            break
-    return labels
+    tables = Tables(pairs.sparkSession, "groups")
+    edges = tables.written(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = tables.written(edges.groupBy(F.col("a").alias("kind")).agg(F.min("b").alias("m")).select("kind", F.least("kind", "m").alias("label")))
+    moved = True
+    while moved:
+        near = edges.join(labels, edges["b"] == labels["kind"]).groupBy("a").agg(F.min("label").alias("m"))
+        hop = labels.join(near, labels["kind"] == near["a"]).select("kind", "label", F.least("label", "m").alias("g"))
+        up = hop.select(F.col("kind").alias("g"), F.col("g").alias("further"))
+        new = tables.written(hop.join(up, "g", "left").select("kind", F.coalesce("further", "g").alias("label"), (F.coalesce("further", "g") != F.col("label")).alias("moved")))
+        labels, moved = new.select("kind", "label"), not new.where("moved").isEmpty()
+    crowd = kinds.groupBy("kind").agg(F.count("*").alias("n")).where("n > 1").select("kind")
+    known = labels.unionByName(crowd.join(labels, "kind", "left_anti").select("kind", F.col("kind").alias("label")))
+    return kinds.join(known, "kind").select("doc_id", F.col("label").alias("group_id"))
 
 
 def group_sizes(labels: DataFrame) -> DataFrame:

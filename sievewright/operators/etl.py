@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import portable_hash, squeezed
+from ..storage import Tables
 
 #: Titles of the family that is kept whole.
 FAMILY = r"(?i)cloud|devops|architect|infrastructure|\bsre\b|site reliability|platform engineer|sysadmin|system administrator|systems administrator|network"
@@ -57,12 +58,17 @@ def stratified_sample(rows: DataFrame, family: Column, label: str, per_label: in
 
 
 def numbered(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
-    """``rows`` with dense ids from 0 in the order of the lower-cased keys. Range partitions are sorted and counted apart:
-    no task holds all rows."""
-    spark = rows.sparkSession
-    ordered = rows.orderBy(*[F.lower(k) for k in keys], id_col)
-    made = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return spark.createDataFrame(made, ordered.schema.add("position", "long"))
+    """``rows`` with dense ids from 0 in the order of the lower-cased keys. Rows go to sorted ranges, which are written;
+    each range counts its own, from where the ranges before it end. No task holds all rows."""
+    tables = Tables(rows.sparkSession, "numbered")
+    order = [*(F.lower(k) for k in keys), F.col(id_col)]
+    ranged = tables.written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))  # one row for each range
+    starts = counts.select(F.col("_range").alias("_of"), F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    out = ranged.withColumn("_own", own).join(F.broadcast(starts), F.col("_range") == F.col("_of"))
+    return out.select(*rows.columns, (F.col("_start") + F.col("_own") - 1).alias("position"))
 
 
 def corpus_profile(rows: DataFrame) -> DataFrame:
@@ -72,3 +78,15 @@ def corpus_profile(rows: DataFrame) -> DataFrame:
         F.bround(F.avg(F.size("skills")), 2).alias("mean_skills"), F.bround(F.avg((F.col("workplace") == "Remote").cast("double")), 4).alias("remote_share"),
         F.count_if(F.col("salary_year").isNotNull()).alias("salaries"), F.min("posted").alias("first_posted"), F.max("posted").alias("last_posted"), F.count_if(F.col("location") == "").alias("no_location"),
     )
+
+
+def role_labels(rows: DataFrame) -> DataFrame:
+    """(role_family, n): the label histogram, the most frequent first."""
+    return rows.groupBy("role_family").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "role_family")
+
+
+def top_skills(rows: DataFrame, k: int = 15) -> DataFrame:
+    """(skill, n, rank) of the k skills that most records list."""
+    counts = rows.select(F.explode("skills").alias("skill")).groupBy("skill").agg(F.count("*").alias("n"))
+    first = counts.orderBy(F.desc("n"), "skill").limit(k)
+    return first.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "skill")))  # k rows

@@ -24,6 +24,11 @@ def normalized_profiles(profiles: DataFrame) -> DataFrame:
     return out.withColumn("years", F.when(F.expr("try_cast(years as double) between 0 and 60"), F.expr("try_cast(years as double)"))) if "years" in profiles.columns else out
 
 
+def keyed_profiles(profiles: DataFrame) -> DataFrame:
+    """``normalized_profiles`` with the keys alone as skills."""
+    return normalized_profiles(profiles).withColumn("skills", F.transform("skills", lambda x: x["key"]))
+
+
 def has_profile(skills, role):
     return (F.size(skills) > 0) | (F.trim(F.coalesce(role, F.lit(""))) != "")
 

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..sources.files import fingerprint
 from ..functions.skills import canon, skill_term
 
 
+VERSION = "2"  # of the layout of saved indexes
+
+
 def zone_terms(listings: DataFrame, stemming: bool = False) -> DataFrame:
     """(zone, doc_id, terms) of the five zones and the flat bag; one pass over the records."""
     seg = lambda c: F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: T.terms(x))
@@ -45,10 +51,14 @@ def dictionary(tf: DataFrame, n: int | Column) -> DataFrame:
 
 
 def postings(tf: DataFrame, terms: DataFrame) -> DataFrame:
-    """(zone, term, doc_id, tf, dw): unit-length weights (1 + log10 tf) idf; a document of zero length has none."""
-    w = tf.join(terms, ["zone", "term"]).withColumn("w", (1 + F.log10("tf")) * F.col("idf"))
-    norm = w.groupBy("zone", "doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
-    return w.join(norm, ["zone", "doc_id"]).select("zone", "term", "doc_id", "tf", (F.col("w") / F.col("norm")).alias("dw"))
+    """(zone, term, doc_id, tf, dw): unit-length weights (1 + log10 tf) idf; a document of zero length has none.
+
+    Terms meet the dictionary once; the terms of a document are then gathered and divided by their norm together."""
+    weighted = tf.join(terms, ["zone", "term"]).select("zone", "doc_id", F.struct("term", "tf", ((1 + F.log10("tf")) * F.col("idf")).alias("w")).alias("t"))
+    bags = weighted.groupBy("zone", "doc_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))  # the terms of one text
+    norm = F.sqrt(F.aggregate("ts", F.lit(0.0), lambda a, t: a + t["w"] * t["w"]))
+    each = bags.withColumn("norm", norm).where("norm > 0").select("zone", "doc_id", "norm", F.inline("ts"))
+    return each.select("zone", "term", "doc_id", "tf", (F.col("w") / F.col("norm")).alias("dw"))
 
 
 def lengths(tf: DataFrame) -> DataFrame:
@@ -94,32 +104,45 @@ class Index:
         terms = dictionary(tf, n)
         return cls(listings, zoned, tf, terms, postings(tf, terms), n)
 
-    def save(self, path: str) -> None:
-        """Tables under ``path``: term frequencies and zone terms once, and postings and terms made from what was
-        written, partitioned by zone and sorted by term, so that a search for a few terms skips row groups. The
-        manifest is written last: without it there is no index."""
-        spark = self.listings.sparkSession
-        self.listings.write.mode("overwrite").parquet(f"{path}/listings")
-        self.zoned.write.mode("overwrite").partitionBy("zone").parquet(f"{path}/zoned")
-        self.tf.write.mode("overwrite").partitionBy("zone").parquet(f"{path}/tf")
-        tf = spark.read.parquet(f"{path}/tf")
-        dictionary(tf, self.n).repartitionByRange("zone", "term").sortWithinPartitions("term").write.mode("overwrite").partitionBy("zone").parquet(f"{path}/terms")
-        made = postings(tf, spark.read.parquet(f"{path}/terms"))
-        made.repartitionByRange("zone", "term").sortWithinPartitions("zone", "term").write.mode("overwrite").partitionBy("zone").parquet(f"{path}/postings")
-        spark.createDataFrame([(self.n,)], "n long").write.mode("overwrite").parquet(f"{path}/manifest")
+    def save(self, path: str, key: str = "") -> None:
+        """Tables under ``path``; see ``written``."""
+        zoned = self.zoned.select("zone", "doc_id", "terms")
+        Index.written(self.listings, path, lambda _: zoned, key)
+
+    @classmethod
+    def written(cls, listings: DataFrame, path: str, zoned: Callable[[DataFrame], DataFrame] = zone_terms, key: str = "") -> Index:
+        """An index whose tables lie under ``path``, each made from those written before it: records, zone terms, term
+        frequencies, terms, postings. Postings are partitioned by zone and sorted by term, so that a search for a few
+        terms skips row groups. The manifest, with the ``key`` of what was indexed, comes last: without it there is no index."""
+        spark = listings.sparkSession
+        put = lambda df, name, *by: df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
+        got = lambda name: spark.read.parquet(f"{path}/{name}")
+        sorted_ = lambda df: df.repartitionByRange("zone", "term").sortWithinPartitions("zone", "term")
+        put(listings, "listings")
+        n = got("listings").count()
+        put(zoned(got("listings")), "zoned", "zone")
+        put(term_frequencies(got("zoned").select("zone", "doc_id", "terms")), "tf", "zone")
+        put(sorted_(dictionary(got("tf"), n)), "terms", "zone")
+        put(sorted_(postings(got("tf"), got("terms"))), "postings", "zone")
+        put(spark.createDataFrame([(n, key)], "n long, key string"), "manifest")
+        return cls.load(spark, path, key)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Index:
-        n = spark.read.parquet(f"{path}/manifest").first().n
+    def load(cls, spark: SparkSession, path: str, key: str | None = None) -> Index:
+        """The saved index; with a ``key``, only if it was saved under that key."""
+        manifest = spark.read.parquet(f"{path}/manifest").first()
+        if key is not None and manifest.key != key:
+            raise ValueError(f"the index at {path} is of other data")
         zoned, posts = spark.read.parquet(f"{path}/zoned"), spark.read.parquet(f"{path}/postings")
-        return cls(spark.read.parquet(f"{path}/listings"), zoned, spark.read.parquet(f"{path}/tf"), spark.read.parquet(f"{path}/terms"), posts, n)
+        return cls(spark.read.parquet(f"{path}/listings"), zoned, spark.read.parquet(f"{path}/tf"), spark.read.parquet(f"{path}/terms"), posts, manifest.n)
 
     @classmethod
-    def load_or_build(cls, listings: DataFrame, path: str, stemming: bool = False) -> Index:
-        """The saved index, or a new one if it cannot be read."""
+    def load_or_build(cls, listings: DataFrame, path: str, stemming: bool = False, source: str | None = None) -> Index:
+        """The saved index if it was made of the same files, else a new one. ``source`` is the folder that ``listings`` were
+        read from: names, sizes and times of its files, and the settings, are the index's key."""
         spark = listings.sparkSession
+        key = fingerprint(spark, source, f"{VERSION} stemming={stemming}") if source else f"{VERSION} stemming={stemming}"
         try:
-            return cls.load(spark, path)
-        except Exception:  # no manifest, or not one of ours
-            cls.build(listings, stemming=stemming).save(path)
-            return cls.load(spark, path)
+            return cls.load(spark, path, key)
+        except (AnalysisException, AttributeError, ValueError):  # none there, not one of ours, or of other data
+            return cls.written(listings, path, lambda rows: zone_terms(rows, stemming), key)

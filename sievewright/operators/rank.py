@@ -27,13 +27,16 @@ def top_k(scores: DataFrame, k: int, seed: int | None = None, positive: bool = F
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def many_seeds(scores: DataFrame, seeds: list[int], k: int, positive: bool = True) -> DataFrame:
-    """Rankings of one scoring pass under several tie-breaks: (seed, query_id, doc_id, score, rank)."""
+def many_seeds(scores: DataFrame, seeds: list[int], k: int, positive: bool = True, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Rankings of one scoring pass under several tie-breaks: (seed, by…, doc_id, score, rank). Before any row is copied for
+    a seed, rows go that no tie-break can bring among the first k."""
     if positive:
         scores = scores.where("score > 0")
+    level = F.rank().over(W.partitionBy(*by).orderBy(F.desc(F.round("score", EXACT))))
+    scores = scores.withColumn("level", level).where(F.col("level") <= k).drop("level")
     each = scores.select("*", F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
     tie = F.pmod(F.pmod("doc_id", F.lit(1 << 20)) * F.lit(2654435761) + F.col("seed") * 40503, F.lit(1 << 32))
-    w = W.partitionBy("seed", "query_id").orderBy(F.desc(F.round("score", EXACT)), tie, "doc_id")
+    w = W.partitionBy("seed", *by).orderBy(F.desc(F.round("score", EXACT)), tie, "doc_id")
     return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -58,22 +61,24 @@ def _greedy(pool: list[tuple], k: int, value: Callable[[float, float, float], tu
     return out
 
 
-def _rerank(ranked: DataFrame, sets: DataFrame, k: int, value) -> DataFrame:
-    """``ranked`` must be cut to a pool: each query's pool goes to one task."""
-    pool = ranked.join(sets.select("doc_id", "terms"), "doc_id").select("query_id", "doc_id", "score", "rank", "terms")
+def _rerank(ranked: DataFrame, sets: DataFrame, k: int, value, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """``ranked`` must be cut to a pool: each pool goes to one task."""
+    by = list(by)
+    pool = ranked.join(sets.select("doc_id", "terms"), "doc_id").select(*by, "doc_id", "score", "rank", "terms")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rank")
         picked = _greedy([(d, s, set(t)) for d, s, t in zip(frame["doc_id"], frame["score"], frame["terms"], strict=True)], k, value)
-        return pd.DataFrame([(frame["query_id"].iloc[0], d, s, c, r + 1) for r, (d, s, c) in enumerate(picked)], columns=["query_id", "doc_id", "score", "closest", "rank"])
+        own = [frame[c].iloc[0] for c in by]
+        return pd.DataFrame([(*own, d, s, c, r + 1) for r, (d, s, c) in enumerate(picked)], columns=[*by, "doc_id", "score", "closest", "rank"])
 
-    kind = f"query_id {ranked.schema['query_id'].dataType.simpleString()}, doc_id long, score double, closest double, rank int"
-    return pool.groupBy("query_id").applyInPandas(run, kind)
+    kind = ", ".join(f"{c} {ranked.schema[c].dataType.simpleString()}" for c in by) + ", doc_id long, score double, closest double, rank int"
+    return pool.groupBy(*by).applyInPandas(run, kind)
 
 
-def diversified(ranked: DataFrame, sets: DataFrame, k: int, epsilon: float = 0.0) -> DataFrame:
+def diversified(ranked: DataFrame, sets: DataFrame, k: int, epsilon: float = 0.0, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Within epsilon of the best left, the least similar to what is picked; then relevance, then pool order."""
-    return _rerank(ranked, sets, k, lambda rel, near, best: None if rel < best - epsilon - 1e-12 else (-near, rel))
+    return _rerank(ranked, sets, k, lambda rel, near, best: None if rel < best - epsilon - 1e-12 else (-near, rel), by)
 
 
 def mmr(ranked: DataFrame, sets: DataFrame, k: int, lam: float) -> DataFrame:

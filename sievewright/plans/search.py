@@ -93,10 +93,19 @@ class Search:
         """Ranked rows with their records and reasons; records are joined after the cut."""
         top = self.ranked(limited(k))
         parts = score.contributions(self.vectors, self.ix.posts, self.ix.terms, self.cfg).join(top.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+        flat = analyze.query_vectors(self.flat_words, self.ix.terms)
+        flat = score.cosine(flat, self.ix.posts, top.select("doc_id").distinct()).select("query_id", "doc_id", F.col("cosine").alias("flat_cosine"))
         why = score.reasons(parts).groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list("reason")).alias("reasons"))  # five zones
         rows = top.join(filters.payload(self.ix.listings).withColumnRenamed("id", "doc_id"), "doc_id").join(why, ["query_id", "doc_id"], "left")
+        rows = rows.join(flat, ["query_id", "doc_id"], "left").withColumn("flat_cosine", F.coalesce("flat_cosine", F.lit(0.0)))
         return rank.resorted(rows, sort)
 
+    def summary(self) -> dict[str, DataFrame]:
+        """What analysis makes of each query: words, named skills, fields of each word, terms, unknown words and what is close to them."""
+        vocabulary = self.ix.terms.where("zone = 'Title' and not contains(term, '_')").select("term")
+        unknown = analyze.unknown_words(self.words, self.ix.terms, self.skills)
+        return {"words": self.words, "skills": self.skills, "routed": self.routed, "terms": analyze.term_table(self.vectors, self.ix.terms), "suggestions": analyze.close_words(unknown, vocabulary)}
+
     def trace(self, k: int = 5) -> dict[str, DataFrame]:
         """Every intermediate table of the search, and the first k of each system."""
         out = {"words": self.words, "skills": self.skills, "routed": self.routed, "vectors": self.vectors, "terms": analyze.term_table(self.vectors, self.ix.terms), "unknown": analyze.unknown_words(self.words, self.ix.terms, self.skills), "before": rank.top_k(self.scores, self.cfg.pool * k), "after": self.ranked(limited(k, 30))}
@@ -134,3 +143,12 @@ def compare(ix: Index, ids: list[int]) -> DataFrame:
     for i in ids:
         filters.lookup(ix.listings, i)
     return fit.compared(ix.listings, ids)
+
+
+def meta(ix: Index) -> DataFrame:
+    """(name, value): the number of records, of terms in each zone, of skills, and of values in each filter."""
+    one = lambda name, df: df.select(F.lit(name).alias("name"), F.col("value").cast("long").alias("value"))
+    records = ix.listings.agg(F.count("*").alias("value"), *(F.count_distinct(F.nullif(c, F.lit(""))).alias(c) for c in filters.FIELDS))
+    rows = records.select(F.explode(F.create_map(F.lit("listings"), "value", *(x for c in filters.FIELDS for x in (F.lit(f"filter {c}"), F.col(c))))).alias("name", "value"))
+    zones = ix.terms.groupBy("zone").agg(F.count("*").alias("value")).select(F.concat(F.lit("vocabulary "), "zone").alias("name"), "value")
+    return rows.unionByName(zones)

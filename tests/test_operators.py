@@ -144,6 +144,11 @@ def test_skill_names(spark):
     got = {s["key"]: s["status"] for s in v.listed(["AWS cloud infrastructure, Go; Cooking (baking, SQL)"], "typed")}
     assert got == {"aws cloud infrastructure": "custom", "aws": "dataset", "go": "dataset", "cooking": "custom", "baking": "custom", "sql": "dataset"}
     assert S.top_level_items("a, b (c, d); e | f") == ["a", "b (c, d)", "e", "f"]
+    glued = S.Vocabulary.of([("google cloud", "x"), ("power bi", "y"), ("node.js", "z"), ("golang", "w"), ("mysql", "q")])
+    found = lambda t: [(s["name"], s["key"]) for s in glued.extract(t, "t")]
+    assert found("GoogleCloud, power-bi and Google /\n Cloud Platform") == [("Google /\n Cloud Platform", "gcp"), ("power-bi", "power bi")]
+    assert found("my mysql, my-sql; end.mysql x+mysql mysql+ amysql") == [("mysql", "mysql")]  # no joiner inside a word; not after a full stop
+    assert found("golang and node.js. node.jsx") == [("node.js", "node.js")]  # "go" is an ordinary word, and so is what stands for it
     df = names.limit(1).select(v.extracted(F.lit("sql here")).alias("x"), v.from_lists(F.array(F.lit("SQL"))).alias("y")).collect()[0]
     assert df.x[0].key == "sql" and df.y[0].type == "programming"
 
@@ -171,6 +176,43 @@ def test_fit_and_transition(spark, ix, records):
         search.compare(ix, [1])
 
 
+def test_covers_whole_words(spark):
+    pairs = [("c++ developer", "c++", True), ("aws cloud infrastructure", "aws", True), ("aws", "aws cloud", False), ("r studio", "r", False), ("r", "r", True), ("node js", "node.js", False), ("", "", True), ("x", "", False)]
+    df = spark.createDataFrame(pairs, "mine string, wanted string, yes boolean")
+    assert df.select(S.covers(F.col("mine"), F.col("wanted")) == F.col("yes")).distinct().collect() == [(True,)]
+
+
+def test_settings_of_a_request():
+    base = Ranking()
+    assert base.override(w_jaccard=None, zone_weights={"Title": 0.9, "Nowhere": 1, "Skills": None}).zone_weights == {**base.zone_weights, "Title": 0.9}
+    assert base.override() == base and base.override(w_jaccard=0.0).w_jaccard == 0
+    for wrong in ({"w_cosine": 2}, {"w_cosine": 0, "w_jaccard": 0}, {"zone_weights": dict.fromkeys(base.zone_weights, 0)}):
+        with pytest.raises(ValueError):
+            base.override(**wrong)
+    with pytest.raises(TypeError):
+        base.override(speed=1)
+
+
+def test_one_record_explained_and_records_compared(spark, ix):
+    people = spark.createDataFrame([(1, "Cloud Architect", ["AWS"]), (2, " ", [])], "profile_id int, role string, skills array<string>")
+    out = transition.explained(ix, 0, "cloud architect", people)
+    assert out["record"].first().id == 0 and out["evidence"].count() and out["similar"].count()
+    fits = {r.profile_id: r for r in out["fit"].collect()}
+    assert 0 < fits[1].fit <= 1 and fits[2].message == fit.NO_PROFILE and fits[2].fit is None
+    prep = out["preparation"].collect()
+    lacks = {k for (k,) in fit.record_skills(ix.listings.where("id = 0")).select("key").collect()} - {"aws"}
+    assert {(r.profile_id, r.key) for r in prep} == {(1, k) for k in lacks}
+    order = sorted(prep, key=lambda r: r.position)
+    assert [r.position for r in order] == list(range(1, len(prep) + 1)) and [r.prevalence for r in order] == sorted((r.prevalence for r in prep), reverse=True)
+    shared, each = transition.compared_fit(ix, people, [0, 5])
+    assert {r.key for r in shared.collect()} >= {"aws"} and {(r.profile_id, r.doc_id) for r in each.collect()} == {(p, d) for p in (1, 2) for d in (0, 5)}
+    shown = search.search(ix, "cloud architect", 3).collect()
+    assert all(0 <= r.flat_cosine <= 1 + 1e-9 for r in shown) and any(r.flat_cosine > 0 for r in shown)
+    meta = {r.name: r.value for r in search.meta(ix).collect()}
+    assert meta["listings"] == 60 and meta["vocabulary Title"] > 0 and meta["filter company"] > 0
+    assert set(search.Search(ix, queries(spark, "clowd")).summary()) == {"words", "skills", "routed", "terms", "suggestions"}
+
+
 def test_metrics_by_hand(spark):
     ranked = spark.createDataFrame([(1, d, i) for i, d in enumerate([1, 9, 2, 8, 7, 3], 1)], "query_id int, doc_id long, rank int")
     qrels = spark.createDataFrame([(1, 1, 2), (1, 2, 2), (1, 3, 2), (1, 4, 1)], "query_id int, doc_id long, grade int")
@@ -195,18 +237,40 @@ def test_evaluation_runs(spark, ix, monkeypatch):
     monkeypatch.setattr(evaluation, "ABLATIONS", {"no_jaccard": {"w_jaccard": 0.0}})
     ab = {r.variant: r for r in evaluation.ablations(ix, qs, qrels, [0]).collect()}
     assert set(ab) == {"full", "no_jaccard"} and ab["full"].d_p5 == 0
-    monkeypatch.setattr(evaluation, "TITLE_WEIGHTS", (0.2, 0.75))
-    assert evaluation.sensitivity(ix, qs, qrels, [0]).count() == 2
+    monkeypatch.setattr(evaluation, "TITLE_WEIGHTS", (0.2, 0.45))
+    sens = {r.title_weight: r for r in evaluation.sensitivity(ix, qs, qrels, [0, 1]).collect()}
+    share = 0.55 / (0.30 + 0.15 + 0.40 + 0.10)
+    cfg = Ranking(zone_weights={"Title": 0.45, "Skills": 0.30 * share, "Location": 0.15 * share, "Company": 0.40 * share, "WorkType": 0.10 * share})
+    want = evaluate.means(evaluation.scored_systems(ix, qs, qrels, [0, 1], cfg, ("hybrid",)), ["system"], list(evaluation.METRICS)).first()
+    assert set(sens) == {0.2, 0.45} and all(math.isclose(sens[0.45][m], want[m], abs_tol=1e-12) for m in evaluation.METRICS)
+    full = [{"query": t, "type": y, "split": z} | q for q, t, y, z in zip(judged, ("cloud architect", "data engineer sql"), "ab", ("dev", "test"), strict=True)]
+    out = evaluation.run(ix, [q | {"id": str(q["id"])} for q in full], [0, 1], 50)
+    assert {(r.system, r.queries) for r in out["systems"].collect()} == {(s, 2) for s in evaluation.SYSTEMS}
+    assert {(r.system, r.split) for r in out["by_split"].collect()} == {(s, x) for s in evaluation.SYSTEMS for x in ("dev", "test")}
+    assert {r.split for r in out["significance"].collect()} == {"all", "dev", "test"} and out["by_type"].count() == 10 and out["recall_ceiling"].count() == 2
 
 
 def test_near_duplicate_groups(spark):
     rows = [(i, [f"w{j}" for j in range(20)] + [f"x{i}"]) for i in range(5)] + [(10, ["solo"]), (11, []), (12, ["w0", "w1"]), (20, ["a", "b", "c"]), (21, ["c", "b", "a", "a"])]
     sets = spark.createDataFrame(rows, "doc_id long, terms array<string>")
     groups = {}
-    for r in dedup.groups(dedup.near_pairs(sets, 0.8)).collect():
+    for r in dedup.groups(dedup.near_pairs(sets, 0.8), dedup.members(sets)).collect():
         groups.setdefault(r.group_id, set()).add(r.doc_id)
     assert groups == {0: {0, 1, 2, 3, 4}, 20: {20, 21}}
-    assert {(r.a, r.b) for r in dedup.all_pairs(sets, 0.8).collect()} == {(a, b) for a in range(5) for b in range(a + 1, 5)} | {(20, 21)}
+    assert {(r.a, r.b) for r in dedup.near_pairs(sets, 0.8).collect()} == {(a, b) for a in range(5) for b in range(a + 1, 5)}
+    assert {(r.doc_id, r.kind) for r in dedup.members(sets).collect()} == {(i, i) for i in (0, 1, 2, 3, 4, 10, 12, 20)} | {(21, 20)}
+
+
+def test_near_duplicates_of_many_copies_and_long_chains(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "HEAVY", 4)
+    words = [f"w{j}" for j in range(300)]
+    chain = [(1000 - i, words[2 * i : 2 * i + 40]) for i in range(90)]  # each near the next only; labels have a long way to go
+    rows = chain + [(2000 + i, ["same", "terms", "here"]) for i in range(500)]
+    sets = spark.createDataFrame(rows, "doc_id long, terms array<string>")
+    pairs = dedup.near_pairs(sets, 0.9)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(1000 - i - 1, 1000 - i) for i in range(89)}
+    got = {r.doc_id: r.group_id for r in dedup.groups(pairs, dedup.members(sets)).collect()}
+    assert got == {1000 - i: 911 for i in range(90)} | {2000 + i: 2000 for i in range(500)}
 
 
 def test_etl(spark, records):
@@ -246,6 +310,15 @@ def test_resume(spark):
     assert got[1].role == "Senior Cloud Engineer" and got[1].years == 4.0 and got[1].department == "Cloud & DevOps"
     assert {s.key for s in got[1].skills} == {"aws", "azure", "terraform", "power bi", "dax"} and got[1].warnings == []
     assert got[2].years == 7.0 and got[2].department == "People Ops" and got[2].department_source == "stated in the resume"
-    assert len(got[3].warnings) == 4
+    assert len(got[3].warnings) == 4 and got[1].sections == ["summary", "skills", "experience", "education"] and got[2].sections == []
+    assert resume.section_items("Cloud: AWS,\nAzure (a, b)\n- x: one two\nlong line that goes on for more than six words\nshort one") == (["AWS", "Azure (a, b)", "one two", "short one"], ["long line that goes on for more than six words"])
+    odd = spark.createDataFrame([("ﬁne\u00a0text •  x\ny-\nz\x07\n\n\n\nend \u3000",)], "t string")
+    assert odd.select(resume.cleaned(F.col("t"))).first()[0] == "fine text - x\nyz \n\nend"
+    files = spark.createDataFrame([(1, 2048, RESUME, 2, None), (2, 10, None, None, "not_pdf")], "path int, size long, text string, pages int, error string").withColumn("path", F.concat(F.lit("/a/"), F.col("path").cast("string"), F.lit(".pdf")))
+    profiles = resume.parsed(files.where("error is null").select(F.col("path").alias("resume_id"), "text"), v, "2024-01-01")
+    log = {r.path: r.steps for r in resume.steps(files, profiles).collect()}
+    assert [(s.step, s.ok) for s in log["/a/1.pdf"]] == [("upload", True), ("text", True), ("profile", True)] and log["/a/1.pdf"][0].detail == "1.pdf, 2 KB"
+    assert "Senior Cloud Engineer; 4 known skills, 1 others" in log["/a/1.pdf"][2].detail
+    assert [(s.step, s.ok, s.detail) for s in log["/a/2.pdf"]][1:] == [("text", False, "not_pdf")]
     held = {r.section: r.body for r in resume.sections(texts.where("resume_id = 1")).collect()}
     assert set(held) == {"header", "summary", "skills", "experience", "education"}

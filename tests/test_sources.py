@@ -46,6 +46,18 @@ def test_index_round_trip_and_pruned_read(spark, tmp_path):
     plan = again.posts.where(F.col("term").isin("red", "blue") & (F.col("zone") == "Title"))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(zone" in plan and "PushedFilters: [In(term" in plan
     assert len(files.fingerprint(spark, f"{path}/terms", "1")) == 40
+    # other data, or other settings, make another index
+    src, kept = str(tmp_path / "src"), str(tmp_path / "kept")
+    records.where("id < 50").coalesce(1).write.parquet(src)
+    made = lambda **k: Index.load_or_build(spark.read.parquet(src), kept, source=src, **k).n
+    stamp = lambda: spark.read.parquet(f"{kept}/manifest").first().key
+    assert made() == made() == records.where("id < 50").count()
+    first = stamp()
+    records.where("id >= 50").coalesce(1).write.mode("append").parquet(src)
+    assert made() == records.count() and stamp() != first
+    second = stamp()
+    made(stemming=True)
+    assert stamp() != second
     stemmed = Index.build(records, stemming=True)
     assert stemmed.terms.where("term = 'small_ring'").count() and stemmed.posts.count()
 
