@@ -1,4 +1,10 @@
-"""From raw documents to packed sequences: each stage works on all that the one before it kept."""
+"""From raw documents to packed sequences: each stage works on all that the one before it kept.
+
+Rows are judged one by one, so null and repeated ids, repeated rows and extra columns, whatever their names, do no harm:
+all stages but the last give the columns that they got. Null and empty texts fail the quality rules. Of rows equal in
+id and text, as of all near copies, one stays (ties: the smallest id, then the least hash of the text). Without labels
+the classifier keeps everything. An empty table, or one of which no text passes, gives an empty result.
+"""
 
 from __future__ import annotations
 
