@@ -67,7 +67,7 @@ def test_empty_repeated_and_clashing_tables(spark, folder, tmp_path):
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     whole = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 150 or doc_id >= 2000")
     odd = {c: F.lit(1) for c in ("id", "mark", "_id", "_mark", "_tie", "_runs", "_q", "_f", "limits", "rates", "tie", "n", "length", "source_", "stays")}
-    tables = {"empty": whole.limit(0), "twice": whole.unionByName(whole), "nulls": whole.limit(3).select(*(F.lit(None).cast(t).alias(c) for c, t in whole.dtypes)), "odd": whole.withColumns(odd)}
+    tables = {"empty": whole.limit(0), "nulls": whole.limit(3).select(*(F.lit(None).cast(t).alias(c) for c, t in whole.dtypes)), "twice": whole.unionByName(whole).withColumns(odd)}
     for name, docs in tables.items():
         d = f"{tmp_path}/{name}"
         docs.write.parquet(f"{d}/documents.parquet")
