@@ -14,14 +14,18 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per part: title, company and label from the part, skills and place from its line items' suppliers.
 
     One aggregation of line items by part; suppliers and nations are small dimensions that the optimizer may
-    broadcast by their size. Parts without line items have no skills and no place.
+    broadcast by their size. Parts without line items have no skills and no place. The place is that of the earliest
+    line; of lines with one order and line number, of the one that comes first in the table.
     """
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     supplier = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
-    items = table(spark, sf_dir, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_discount", "l_shipdate", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    items = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    earliest = F.when(line.isNotNull() & F.col("n_name").isNotNull(), F.struct(line, "_file", "_row"))
     per_part = items.groupBy("l_partkey").agg(
         F.array_sort(F.collect_set(F.when(F.col("l_discount") >= 0.09, F.lower("n_name")))).alias("skills"),
-        F.min_by("n_name", F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("location"),
+        F.min_by("n_name", earliest).alias("location"),
         F.to_date(F.max("l_shipdate")).alias("posted"),
         F.count("*").alias("listings"),
     )
