@@ -230,22 +230,27 @@ s AS (SELECT doc_id, unnest(terms) AS term FROM t), c AS (SELECT a.doc_id AS a,
 p AS (SELECT a, b, m / (len(x.terms) + len(y.terms) - m) AS jaccard FROM c JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE m / (len(x.terms) + len(y.terms) - m) >= 0.8)"""
 
 
+def _term_sets(spark, sf):
+    """The sets of documents alone, without the other tables of an index."""
+    return once(spark, sf, "term sets", lambda: index.term_sets(index.flat_terms(tables.corpus(spark, sf), "doc_id", "body")))
+
+
 @query(SETS + " SELECT a, b, round_even(jaccard, 6) AS jaccard FROM p")
 def x10_near_pairs(spark, sf):
     """Pairs of different sets, each named by its smallest document; x10_kinds says which documents have it."""
-    sets = index.term_sets(text_index(spark, sf).zoned)
-    return rounded(dedup.near_pairs(sets, 0.8), "jaccard")
+    return rounded(dedup.near_pairs(_term_sets(spark, sf), 0.8), "jaccard")
 
 
 @query(SETS + " SELECT unnest(docs) AS doc_id, doc_id AS kind FROM t")
 def x10_kinds(spark, sf):
-    return dedup.members(index.term_sets(text_index(spark, sf).zoned))
+    return dedup.members(_term_sets(spark, sf))
 
 
 @query("WITH RECURSIVE " + SETS.removeprefix("WITH ") + ", e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT doc_id AS k, doc_id AS g FROM t UNION SELECT r.k, e.b FROM r JOIN e ON e.a = r.g), l AS (SELECT k, min(g) AS g FROM r GROUP BY k), o AS (SELECT unnest(docs) AS doc_id, l.g AS group_id FROM t JOIN l ON k = t.doc_id) SELECT doc_id, group_id FROM o WHERE group_id IN (SELECT group_id FROM o GROUP BY ALL HAVING count(*) > 1)")
 def x10_near_groups(spark, sf):
-    sets = index.term_sets(text_index(spark, sf).zoned)
-    return dedup.groups(dedup.near_pairs(sets, 0.8), dedup.members(sets))
+    sets = _term_sets(spark, sf)
+    kinds = once(spark, sf, "kinds", lambda: dedup.members(sets))
+    return dedup.groups(dedup.near_pairs(sets, 0.8, kinds), kinds)
 
 
 @query("SELECT query_id, doc_id, round_even((0.85 * cosine + 0.35 * coalesce(jaccard, 0)) / 1.2, 6) AS score FROM fcos LEFT JOIN jac USING (query_id, doc_id)", ("fcos", "jac"))
