@@ -1,38 +1,68 @@
 """Profiles against the catalog: requirements, fit, gaps, plans, roll-ups."""
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from ..operators import fit, rank
 from ..plans import transition
 from ..sources import tables
 from .ranking import _Scored
-from .registry import once, query, rounded, sql_biwords, sql_terms
+from .registry import catalog_index, once, query, rounded, sql_biwords, sql_terms
 
 
 class _Career:
+    """What queries on profiles share; each makes only the tables that it reads."""
+
     def __init__(self, spark, sf):
-        self.spark, self.sf, self.s = spark, sf, _Scored(spark, sf)
-        self.kept = once(spark, sf, "kept", lambda: fit.relevant(rank.top_k(self.s.hybrid, 50)))
-        self.skills = fit.record_skills(self.s.ix.listings)
-        self.required = once(spark, sf, "required", lambda: fit.requirements(self.kept, self.skills))
-        self.people = once(spark, sf, "profiles", lambda: tables.profiles(spark, sf))
-        self.mine = fit.profile_skills(self.people)
-        able = once(spark, sf, "able", lambda: fit.met(self.people, self.required, self.mine))
+        self.spark, self.sf = spark, sf
+
+    @cached_property
+    def s(self):
+        return _Scored(self.spark, self.sf)
+
+    @cached_property
+    def ix(self):
+        return catalog_index(self.spark, self.sf)
+
+    @cached_property
+    def kept(self):
+        return once(self.spark, self.sf, "kept", lambda: fit.relevant(rank.top_k(self.s.hybrid, 50)))
+
+    @cached_property
+    def skills(self):
+        return fit.record_skills(self.ix.listings)
+
+    @cached_property
+    def required(self):
+        return once(self.spark, self.sf, "required", lambda: fit.requirements(self.kept, self.skills))
+
+    @cached_property
+    def people(self):
+        return once(self.spark, self.sf, "profiles", lambda: tables.profiles(self.spark, self.sf))
+
+    @cached_property
+    def mine(self):
+        return fit.profile_skills(self.people)
+
+    @cached_property
+    def needs(self):
+        able = once(self.spark, self.sf, "able", lambda: fit.met(self.people, self.required, self.mine))
         needs = able.crossJoin(F.broadcast(self.required))  # requirements of a batch: hundreds of rows
-        self.needs = needs.withColumn("mine", F.try_element_at("met", F.col("key"))).drop("met")
+        return needs.withColumn("mine", F.try_element_at("met", F.col("key"))).drop("met")
 
     def fits(self):
         """Coverage of the relevant rows of every query for each profile, without a role component."""
         rows = self.kept.select("query_id", "doc_id", "score")
         asked = rows.select("doc_id").distinct().join(self.skills, "doc_id")
-        cover = fit.coverage_of(fit.met(self.people, asked, self.mine), rows, self.skills, self.s.ix.terms)
+        cover = fit.coverage_of(fit.met(self.people, asked, self.mine), rows, self.skills, self.ix.terms)
         none = cover.select("profile_id", "doc_id", F.lit(None).cast("double").alias("role")).limit(0)
         return fit.fit(cover, none)
 
     def listings(self):
         """The records of relevant rows: fifty a query at most."""
         kept = self.kept.select(F.col("doc_id").alias("id")).distinct()
-        return F.broadcast(self.s.ix.listings.join(F.broadcast(kept), "id", "left_semi"))
+        return F.broadcast(self.ix.listings.join(F.broadcast(kept), "id", "left_semi"))
 
 
 EACH = ("profile_id", "query_id")
@@ -121,7 +151,7 @@ rs AS (SELECT profile_id, doc_id, sum(qw * dw) AS role FROM rv JOIN (SELECT term
 @query(TITLE_ROLE + "SELECT profile_id, doc_id, round_even(role, 6) AS role FROM rs", ("profile", "dict", "post", "rel"))
 def r16_role_similarity(spark, sf):
     c = _Career(spark, sf)
-    return rounded(transition.role_similarity(c.s.ix, c.people, c.kept.select("doc_id").distinct()), "role")
+    return rounded(transition.role_similarity(c.ix, c.people, c.kept.select("doc_id").distinct()), "role")
 
 
 @query(
@@ -136,7 +166,7 @@ FROM (SELECT p.profile_id, g.doc_id, coverage, CASE WHEN p.role IS NULL THEN NUL
 def c03_job_fit(spark, sf):
     """Both components: covered skills, and the title's likeness to the profile's role."""
     c = _Career(spark, sf)
-    out = transition.job_fit(c.s.ix, c.people, c.kept.select("doc_id").distinct())
+    out = transition.job_fit(c.ix, c.people, c.kept.select("doc_id").distinct())
     return rounded(out.select("profile_id", "doc_id", "coverage", "role", "fit"), "coverage", "role", "fit")
 
 
@@ -146,23 +176,23 @@ def c02_attach_fit(spark, sf):
     c = _Career(spark, sf)
     blank = c.people.limit(1).select(F.lit(-1).cast("long").alias("profile_id"), F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("skills"))
     page = rank.top_k(c.s.hybrid, 10).where("query_id = 1").select("doc_id", "score")
-    return rounded(transition.attach_fit(c.s.ix, c.people.unionByName(blank), page).select("profile_id", "doc_id", "coverage", "role", "fit", "message"), "coverage", "role", "fit")
+    return rounded(transition.attach_fit(c.ix, c.people.unionByName(blank), page).select("profile_id", "doc_id", "coverage", "role", "fit", "message"), "coverage", "role", "fit")
 
 
 @query()
 def c09_explained(spark, sf):
     """How every profile would prepare for one record."""
     c = _Career(spark, sf)
-    first = c.s.ix.listings.where(F.size("skills") >= 3).agg(F.min("id")).first()[0]
-    return rounded(transition.explained(c.s.ix, first, "small ring economy", c.people)["preparation"], "prevalence")
+    first = c.ix.listings.where(F.size("skills") >= 3).agg(F.min("id")).first()[0]
+    return rounded(transition.explained(c.ix, first, "small ring economy", c.people)["preparation"], "prevalence")
 
 
 @query()
 def c10_compared(spark, sf):
     """Three records compared: the fit of each for every profile."""
     c = _Career(spark, sf)
-    ids = [r.id for r in c.s.ix.listings.where(F.size("skills") >= 2).orderBy("id").limit(3).collect()]
-    return rounded(transition.compared_fit(c.s.ix, c.people, ids)[1].select("profile_id", "doc_id", "coverage", "role", "fit"), "coverage", "role", "fit")
+    ids = [r.id for r in c.ix.listings.where(F.size("skills") >= 2).orderBy("id").limit(3).collect()]
+    return rounded(transition.compared_fit(c.ix, c.people, ids)[1].select("profile_id", "doc_id", "coverage", "role", "fit"), "coverage", "role", "fit")
 
 
 @query("SELECT profile_id, role, array_to_string(skills, '|') AS skills FROM profile", ("profile",))

@@ -25,8 +25,9 @@ def normalized_profiles(profiles: DataFrame) -> DataFrame:
 
 
 def keyed_profiles(profiles: DataFrame) -> DataFrame:
-    """``normalized_profiles`` with the keys alone as skills."""
-    return normalized_profiles(profiles).withColumn("skills", F.transform("skills", lambda x: x["key"]))
+    """``normalized_profiles`` with the keys alone as skills; each skill's key is made once."""
+    keys = F.filter(F.transform("skills", lambda s: canon(F.trim(s))), lambda k: k != "")
+    return normalized_profiles(profiles.withColumn("_keys", F.array_distinct(keys))).withColumn("skills", F.col("_keys")).drop("_keys")
 
 
 def has_profile(skills, role):

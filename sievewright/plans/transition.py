@@ -32,9 +32,12 @@ def role_present(s: Search) -> DataFrame:
 
 def role_similarity(ix: Index, profiles: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(profile_id, doc_id, role): title cosine of each profile's role with the records, or with ``allowed(doc_id)`` of them."""
-    words = analyze.query_words(profiles.where("role is not null").select(F.col("profile_id").alias("query_id"), F.col("role").alias("query")))
+    roles = profiles.where("role is not null").select("profile_id", F.col("role").alias("query"))
+    each = roles.select("query").distinct()  # a role that many profiles have is scored once
+    words = analyze.query_words(each.select(F.col("query").alias("query_id"), "query"))
     wanted = analyze.query_terms(words).select("query_id", F.lit("Title").alias("zone"), "term", "tf", F.lit(1.0).alias("boost"))
-    return score.cosine(analyze.query_vectors(wanted, ix.terms), ix.posts, allowed).select(F.col("query_id").alias("profile_id"), "doc_id", F.col("cosine").alias("role"))
+    found = score.cosine(analyze.query_vectors(wanted, ix.terms), ix.posts, allowed).select(F.col("query_id").alias("query"), "doc_id", F.col("cosine").alias("role"))
+    return roles.join(found, "query").select("profile_id", "doc_id", "role")
 
 
 def paged(rows: DataFrame) -> DataFrame:
